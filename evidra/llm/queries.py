@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from evidra.llm import sql
+from evidra.llm.fingerprints import op9_fingerprints
+from evidra.llm.packing import op8_packing
 from evidra.llm.secrets import op1_secret_scan
+from evidra.llm.sharding import op3_sharding
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_sharding, op8_packing, op9_fingerprints)}
 SQL: dict[str, str] = sql.ORACLES
