@@ -92,3 +92,21 @@ def arrow_type(t: T.DataType) -> pa.DataType:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+FILTER_BITS = 22
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be of ``ids``, rows that are surely not), by a bitmap of fixed size, so few rows need a join.
+
+    ``ids`` has one column of keys. Null keys are among the sure ones.
+    """
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    word, bits, at = own_names(df, "filter", "word", "bits", "at")
+    one = ids.select(spread(F.col(ids.columns[0])).alias(at)).select((F.col(at) / 64).cast("int").alias(word), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias(bits))
+    held = F.broadcast(one.groupBy(word).agg(F.bit_or(bits).alias(bits)))  # at most 2^16 rows
+    rows = df.withColumn(at, spread(F.col(f"`{key}`"))).withColumn(word, (F.col(at) / 64).cast("int")).join(held, word, "left")
+    maybe = F.expr(f"{bits} is not null and shiftright({bits}, cast({at} % 64 as int)) & 1 = 1") & F.col(f"`{key}`").isNotNull()
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return rows.where(maybe).select(*names), rows.where(~maybe).select(*names)

@@ -156,20 +156,18 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     cut = src.mapInArrow(pieces, f"key {kind}, bucket long, start long, length long, ids_crc32 long, doc_tokens long, packed binary")
     cut = cut if keep_ids else cut.drop("packed")
-    fields = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", packed binary" * keep_ids
+    fields = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "key", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         place = best_fit_decreasing(pdf["length"].tolist(), window)
         base = int(pdf["bucket"].iloc[0]) << 32
-        return pdf.assign(sequence_id=[base + s for s, _ in place], offset=[o for _, o in place]).drop(columns="bucket")
-
-    out = cut.groupBy("bucket").applyInPandas(pack, fields)
-    if keep_ids:
-        hexed = F.hex("packed")
-        number = lambda i: F.conv(F.concat(*[F.substring(hexed, i * 8 + j, 2) for j in (7, 5, 3, 1)]), 16, 10).cast("int")
-        out = out.withColumn("ids", F.transform(F.sequence(F.lit(0), (F.col("length") - 1).cast("int")), number)).drop("packed")
-    return out.withColumnRenamed("key", key)
+        out = pdf.assign(sequence_id=[base + s for s, _ in place], offset=[o for _, o in place])
+        if keep_ids:
+            out["ids"] = [np.frombuffer(x, "<i4") for x in out.pop("packed")]
+        return out.drop(columns="bucket")
+
+    return cut.groupBy("bucket").applyInPandas(pack, fields).withColumnRenamed("key", key)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

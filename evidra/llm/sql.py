@@ -1,3 +1,42 @@
 """DuckDB SQL for those operators that SQL can express over whole tables."""
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+JACCARD = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(id, at) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.at
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT id, min(at) AS component_id FROM reach GROUP BY 1) r ON r.id = d.doc_id
+"""
+
+_GROUP = "(concat('0x', substr(sha1(p), 10 * g + 1, 10)))::BIGINT"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+d AS (
+  SELECT page_id, p, array_to_string(list_transform(range(0, 4), lambda g:
+    array_to_string(list_transform(range(0, 8), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_GROUP} >> (35 - 5 * i)) & 31)::INT + 1, 1)), '')), '') AS digest,
+    max(page_id) OVER (PARTITION BY p) AS holder
+  FROM p
+)
+SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op5_jaccard": JACCARD, "op7_warc": WARC}
