@@ -1,17 +1,50 @@
-"""Training-data pipeline over ``documents``. Counted as part of the subpackage llm."""
+"""Training-data pipeline over ``documents``. Counted as part of the subpackage llm.
+
+Each stage reads what its predecessor kept, from Parquet. Texts that the classifier rejects go; of each
+group of near duplicates the document with the smallest doc_id stays; secrets are replaced by their kind;
+what is left is tokenised and packed. Texts of null count as empty and stay unless rejected.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidra.llm.common import table, written
+from evidra.llm.jaccard import one_of_each
+from evidra.llm.packing import pack_documents
+from evidra.llm.quality import score_quality, train
+from evidra.llm.secrets import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group."""
+    return one_of_each(docs)
 
-STAGES: list = []
-#: Two stages (a trained model, a tokenizer) have no SQL form; tests use a brute-force version.
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by its kind."""
+    out = redact_secrets(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
+#: A trained model and a tokenizer have no SQL form; tests hold the stages against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evidra.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
