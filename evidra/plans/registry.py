@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from evidra.plans import retrieval_queries
+from evidra.plans.dialect import Duck, Spark, ran
+from evidra.plans.statements import PLANS
+
+QUERIES: dict = {name: (lambda spark, sf_dir, f=f: ran(spark, sf_dir, f(Spark))) for name, f in PLANS.items()} | retrieval_queries.QUERIES
+for _name, _f in QUERIES.items():
+    _f.__name__ = _name
+SQL: dict[str, str] = {name: f(Duck) for name, f in PLANS.items()} | retrieval_queries.SQL
