@@ -1,10 +1,11 @@
 """Operator 10: approximate nearest neighbours on shifted space-filling curves.
 
 Vectors are projected by several fixed random rotations to a few dimensions, shifted, and ordered along
-a Hilbert curve; each ordering is range-partitioned into blocks of ``block`` rows. A query meets, on
-every curve, the blocks whose ranks lie within ``share`` of all rows on either side of its own rank, and
-keeps its best there; the curves' answers merge and are scored again in double precision. Ranks, not
-keys, part the blocks, so a crowded place on a curve makes no large block.
+a Hilbert curve; each ordering is range-partitioned and cut into blocks of ``share`` of all rows. A query
+meets, on every curve, its own block and the two beside it; the curves' answers merge and are scored again
+in double precision. Ranks, not keys, part the blocks, so a crowded place on a curve makes no large block.
+A task holds at most some ``queries`` queries of a block, and vectors stream past them in batches, so its
+memory is bounded and it gives k rows a query, however many vectors it reads.
 
 A fixed window would lose recall as rows grow, since near vectors of high dimension spread along any
 curve in proportion; the window is therefore a share of the rows, the same at every size.
@@ -12,7 +13,7 @@ curve in proportion; the window is therefore a share of the rows, the same at ev
 Equal vectors are searched as one: of each, the k + 1 smallest ids are kept, more than any answer needs,
 so a vector with very many copies costs no more than another.
 
-Defined cases: vectors that are null, zero, of another length than the first kept one's, or hold null or
+Defined cases: vectors that are null, zero, of another length than the smallest id's, or hold null or
 non-finite components take no part; ties go to the smaller id; repeated ids count as rows; with fewer
 candidates than k all are returned (the window then covers all rows); an empty table gives none.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import partitions, table, written
 
-CURVES, DIMS, BITS, SHARE, BLOCK, SEED = 8, 6, 10, 0.2, 4096, 20
+CURVES, DIMS, BITS, SHARE, QUERIES, SEED = 5, 6, 10, 0.15, 4096, 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,7 +85,7 @@ def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.array([sum(p) for p in (queries * vectors).tolist()]) if len(queries) else np.zeros(0)
 
 
-def ranked(df: DataFrame, by: str, keys: list[str], block: int) -> DataFrame:
+def ranked(df: DataFrame, by: str, keys: list[str]) -> DataFrame:
     """Adds ``rank`` within ``by`` in the order of ``keys``, without one task for all: range parts, then offsets."""
     n = max(1, partitions(df.sparkSession))
     parts = written(df.repartitionByRange(n, by, *keys).withColumn("piece", F.spark_partition_id()), "ann-sorted")
@@ -95,17 +96,19 @@ def ranked(df: DataFrame, by: str, keys: list[str], block: int) -> DataFrame:
     return parts.withColumn("within", within).join(offsets, [by, "piece"]).withColumn("rank", F.col("before") + F.col("within") - 1).drop("before", "within", "piece")
 
 
-def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, curves: int = CURVES, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, curves: int = CURVES, share: float = SHARE, queries: int = QUERIES) -> DataFrame:
     """Columns query_id, rank, vec_id, score for each row that the condition ``is_query`` holds for."""
     spark = df.sparkSession
     src = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     src = written(src.where(F.coalesce(sound, F.lit(False)) & F.col("id").isNotNull()).withColumn("h", F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)), "ann-rows")
+    if (one := src.orderBy("id", "h").select(F.size("v").alias("d")).first()) is not None:
+        src = src.where(F.size("v") == one.d)
     few = src.withColumn("n", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("n") <= k + 1)  # limited before it moves
     index = few.groupBy("h").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
     asked = src.where("q").select("h").distinct().withColumn("asks", F.lit(True))
-    index = written(index.join(asked, "h", "left").select("h", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), "ann-index")
-    total = index.count()
+    index = written(index.join(asked, "h", "left").select(F.monotonically_increasing_id().alias("name"), "h", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), "ann-index")
+    total, n_asked = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,54 +118,87 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
             keys = curve_keys(v, curves, DIMS, BITS, SEED)
             n = len(v)
             take = pa.array(np.tile(np.arange(n), curves))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(curves, dtype=np.int32), n)), pa.array(keys.T.ravel()), *(b.column(c).take(take) for c in ("h", "v", "asks"))], names=["curve", "at", "h", "v", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(curves, dtype=np.int32), n)), pa.array(keys.T.ravel()), *(b.column(c).take(take) for c in ("name", "v", "asks"))], names=["curve", "at", "name", "v", "asks"])
 
-    curve = index.select("h", "v", "asks").mapInArrow(keyed, "curve int, at long, h string, v array<double>, asks boolean")
-    curve = written(ranked(curve, "curve", ["at", "h"], block), "ann-curves")
+    curve = index.select("name", "v", "asks").mapInArrow(keyed, "curve int, at long, name long, v array<double>, asks boolean")
+    curve = written(ranked(curve, "curve", ["at", "name"]), "ann-curves")
     reach = max(int(total * share), k + 1)
-    to_block = lambda r: (r / block).cast("int")
-    own = curve.select("curve", to_block(F.col("rank")).alias("block"), F.lit(False).alias("ask"), "h", "v")
-    last = max(0, (total - 1) // block)
-    lo, hi = F.greatest(F.lit(0), to_block(F.col("rank") - reach)), F.least(F.lit(last), to_block(F.col("rank") + reach))
-    ask = curve.where("asks").select("curve", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("block"), F.lit(True).alias("ask"), "h", "v")
-    met = own.unionByName(ask)
-    met = met.repartition(max(1, partitions(spark)), "curve", "block").sortWithinPartitions("curve", "block", "ask")
-    fields = "qh string, h string, score double"
+    last = max(0, (total - 1) // reach)
+    chunks = max(1, -(-n_asked // ((last + 1) * queries)))
+    own = (F.col("rank") / reach).cast("int")
+    ask = curve.where("asks").select("curve", own.alias("block"), F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("kind"), "name", "v")
+    near = F.explode(F.sequence(F.greatest(F.lit(0), own - 1), F.least(F.lit(last), own + 1)))
+    met = curve.select("curve", near.alias("block"), "name", "v").select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("kind"), "name", "v")
+    met = ask.unionByName(met).repartition(max(1, partitions(spark)), "curve", "block", "chunk").sortWithinPartitions("curve", "block", "chunk", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, names, vecs, mat = None, [], [], None
+        at, held = None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held is not None and held.best is not None:
+                q, s, n = held.answers()
+                for a in range(0, len(q), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (q, n, s)], names=["qn", "name", "score"])
+
         for b in batches:
-            cb = np.stack([b.column("curve").to_numpy(), b.column("block").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)], 1).astype(np.int64)
-            if not len(cb):
+            key = np.stack([b.column(c).to_numpy() for c in ("curve", "block", "chunk", "kind")], 1).astype(np.int64)
+            if not len(key):
                 continue
-            cuts = [0, *(np.flatnonzero((cb[1:] != cb[:-1]).any(1)) + 1).tolist(), len(cb)]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for a, z in zip(cuts, cuts[1:]):
-                h, v = b.column("h").slice(a, z - a).to_pylist(), np.array(b.column("v").slice(a, z - a).to_pylist(), np.float64)
-                if at != tuple(cb[a, :2]):
-                    at, names, vecs, mat = tuple(cb[a, :2]), [], [], None
-                if not cb[a, 2]:
-                    names += h
-                    vecs.append(v)
-                    continue
-                if mat is None:
-                    mat, names = np.concatenate(vecs), np.array(names)
-                for s in range(0, len(h), 256):
-                    q = v[s : s + 256]
-                    got = q @ mat.T
-                    m = min(k + 1, got.shape[1])  # the query's own vector may be among them
-                    top = np.argpartition(-got, m - 1, axis=1)[:, :m]
-                    rows = np.repeat(np.arange(len(q)), m)
-                    cols = top.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(h[s : s + 256])[rows]), pa.array(names[cols]), pa.array(exact_scores(q[rows], mat[cols]))], names=["qh", "h", "score"])
-
-    found = met.mapInArrow(search, fields).dropDuplicates(["qh", "h"])
-    pairs = found.join(index.select("h", "ids"), "h").select("qh", "score", F.explode("ids").alias("vec_id"))
-    rank = F.row_number().over(W.partitionBy("qh").orderBy(F.desc("score"), "vec_id"))
-    short = pairs.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")
-    queries = src.where("q").select(F.col("h").alias("qh"), F.col("id").alias("query_id"))
-    out = queries.join(short, "qh").where("vec_id != query_id")
+                if at != tuple(key[a, :3]):
+                    yield from out()
+                    at, held = tuple(key[a, :3]), Best(k + 1)  # the query's own vector may be among them
+                if key[a, 3] and not held.names:
+                    continue  # no query here
+                names, v = b.column("name").slice(a, z - a).to_numpy(), np.array(b.column("v").slice(a, z - a).to_pylist(), np.float64)
+                if key[a, 3]:
+                    for s in range(0, len(v), 2048):
+                        held.see(names[s : s + 2048], v[s : s + 2048])
+                else:
+                    held.ask(names, v)
+        yield from out()
+
+    found = met.mapInArrow(search, "qn long, name long, score double").dropDuplicates(["qn", "name"])
+    pairs = found.join(index.select("name", "ids"), "name").select("qn", "score", F.explode("ids").alias("vec_id"))
+    rank = F.row_number().over(W.partitionBy("qn").orderBy(F.desc("score"), "vec_id"))
+    short = pairs.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n").join(index.select(F.col("name").alias("qn"), F.col("h").alias("qh")), "qn")
+    asking = src.where("q").select(F.col("h").alias("qh"), F.col("id").alias("query_id"))
+    answers = asking.join(short, "qh").where("vec_id != query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+class Best:
+    """The best ``m`` vectors seen so far of each of a few thousand queries."""
+
+    def __init__(self, m: int) -> None:
+        self.m, self.names, self.vectors = m, [], []
+        self.q = self.best = self.who = self.held = None
+
+    def ask(self, names: np.ndarray, v: np.ndarray) -> None:
+        self.names.append(names)
+        self.vectors.append(v)
+
+    def see(self, names: np.ndarray, v: np.ndarray) -> None:
+        if self.q is None:
+            self.q = np.concatenate(self.vectors)
+            n = len(self.q)
+            self.best, self.who, self.held = np.full((n, self.m), -np.inf), np.full((n, self.m), -1, np.int64), np.zeros((n, self.m, self.q.shape[1]))
+        got = self.q @ v.T
+        m = min(self.m, got.shape[1])
+        top = np.argpartition(-got, m - 1, axis=1)[:, :m]
+        rows = np.arange(len(got))[:, None]
+        best = np.concatenate([self.best, got[rows, top]], axis=1)
+        who = np.concatenate([self.who, names[top]], axis=1)
+        held = np.concatenate([self.held, v[top]], axis=1)
+        keep = np.argpartition(-best, self.m - 1, axis=1)[:, : self.m]
+        self.best, self.who, self.held = best[rows, keep], who[rows, keep], held[rows, keep]
+
+    def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, vector), scored again row by row."""
+        q, at = np.nonzero(self.who >= 0)
+        return np.concatenate(self.names)[q], exact_scores(self.q[q], self.held[q, at]), self.who[q, at]
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

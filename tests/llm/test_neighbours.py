@@ -41,14 +41,14 @@ def test_blocks_and_windows(spark):
     want = truth(rows)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
-    for r in nearest(df, F.col("vec_id") % 20 == 0, block=100).collect():
+    for r in nearest(df, F.col("vec_id") % 20 == 0, queries=7).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
 
 
 def test_odd_rows(spark):
     good = [(i, [1.0, float(i % 5)]) for i in range(40)] + [(100 + i, [9.0, 9.0]) for i in range(60)]
-    bad = [(1000, None), (1020, [0.0, 0.0]), (1040, [float("nan"), 1.0]), (1060, [None, 1.0]), (1080, [float("inf"), 1.0])]
+    bad = [(1000, None), (1020, [0.0, 0.0]), (1040, [float("nan"), 1.0]), (1060, [None, 1.0]), (1080, [float("inf"), 1.0]), (1100, [1.0])]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").withColumn("h", F.lit(1))
     got = {}
     for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
