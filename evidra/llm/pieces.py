@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from evidra.llm.common import table, with_columns
 
 SPACE = "▁"
+NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -60,6 +61,17 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
+def trie_of(score: dict[str, float]) -> dict:
+    """Character to (score of the piece that ends there or None, the characters after it)."""
+    root: dict = {}
+    for piece, s in score.items():
+        node = root
+        for c in piece[:-1]:
+            node = node.setdefault(c, (None, {}))[1]
+        node[piece[-1]] = (s, node[piece[-1]][1] if piece[-1] in node else {})
+    return root
+
+
 class Model:
     def __init__(self, data: bytes) -> None:
         self.text: list[str] = []
@@ -81,10 +93,13 @@ class Model:
         self.score = {t: s for t, s, k in zip(self.text, score, self.kind) if k in (NORMAL, USER)}
         self.id = {t: i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k in (NORMAL, USER)}
         self.longest = max(map(len, self.score))
+        self.trie = trie_of(self.score)
         self.unknown = next(i for i, k in enumerate(self.kind) if k == UNKNOWN)
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.worst = min(s for s, k in zip(score, self.kind) if k == NORMAL) - 10
+        #: what each id decodes to
+        self.spelt = [bytes([self.byte_of[i]]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else t.replace(SPACE, " ").encode() for i, (t, k) in enumerate(zip(self.text, self.kind))]
         self.by_words = not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.score)
 
     def normal(self, text: str) -> str:
@@ -98,16 +113,14 @@ class Model:
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
     def decode(self, ids: Iterable[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif self.kind[i] != CONTROL:
-                out += self.text[i].replace(SPACE, " ").encode() if self.kind[i] != UNKNOWN else b" \xe2\x81\x87 "
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Stream:
     """Feed characters, get ids; ``window`` is the most characters it ever held."""
 
@@ -116,7 +129,7 @@ class Stream:
     def __init__(self, model: Model) -> None:
         self.m = model
         self.text = ""  # since the last commit
-        self.best: list[float | None] = [0.0]
+        self.best: list[float] = [0.0]  # of each boundary; NONE where no path ends
         self.back: list[int] = [0]
         self.done = 0  # starts whose pieces are entered
         self.window = 0
@@ -128,7 +141,7 @@ class Stream:
             self.text += text[at : at + self.EVERY]
             n = len(self.text)
             self.window = max(self.window, n)
-            self.best += [None] * (n + 1 - len(self.best))
+            self.best += [NONE] * (n + 1 - len(self.best))
             self.back += [0] * (n + 1 - len(self.back))
             end = n if last and at + self.EVERY >= len(text) else n - m.longest + 1
             self._enter(end)
@@ -139,25 +152,26 @@ class Stream:
         return out
 
     def _enter(self, end: int) -> None:
-        text, best, back, score, n = self.text, self.best, self.back, self.m.score, len(self.text)
+        text, best, back, worst = self.text, self.best, self.back, self.m.worst
         for i in range(self.done, end):
-            base = best[i]
-            for j in range(i + 1, min(i + self.m.longest, n) + 1):
-                s = score.get(text[i:j])
-                if s is not None:
-                    s += base
-                elif j == i + 1:
-                    s = base + self.m.worst
-                else:
-                    continue
-                if best[j] is None or s > best[j]:
-                    best[j], back[j] = s, i
+            base, node = best[i], self.m.trie
+            j = i
+            for c in text[i : i + self.m.longest]:
+                got = node.get(c)
+                if got is None:
+                    break
+                s, node = got
+                j += 1
+                if s is not None and s + base > best[j]:
+                    best[j], back[j] = s + base, i
+            if text[i] not in self.m.score and base + worst > best[i + 1]:
+                best[i + 1], back[i + 1] = base + worst, i
         self.done = max(self.done, end)
 
     def _agreed(self) -> int:
         """The last boundary that all paths still open pass."""
         # piece starts that are not entered yet lie at ``done`` or later, so every path passes some boundary of the last piece length
-        open_ = {j for j in range(self.done, len(self.best)) if self.best[j] is not None}
+        open_ = {j for j in range(self.done, len(self.best)) if self.best[j] > NONE}
         while len(open_) > 1:
             top = max(open_)
             open_.remove(top)
@@ -180,7 +194,7 @@ class Stream:
         self.back = [max(0, b - to) for b in self.back[to:]]
         self.done -= to
         base = self.best[0]
-        self.best = [None if b is None else b - base for b in self.best]
+        self.best = [b - base for b in self.best]
         return out
 
 
@@ -192,7 +206,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
-            got = np.array(Stream(self.model).feed(word, last=True), "<u4").tobytes()
+            got = packed(Stream(self.model).feed(word, last=True))
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -215,7 +229,7 @@ def encode(path: str, text: str) -> bytes:
     if not m.by_words:
         s = Stream(m)
         out = [s.feed(text[a : a + 4096]) for a in range(0, len(text), 4096)]
-        return np.array([i for x in [*out, s.feed("", last=True)] for i in x], "<u4").tobytes()
+        return packed([i for x in [*out, s.feed("", last=True)] for i in x])
     if SPACE * 2 in text or text[-1:] == SPACE:
         return b"".join([words[w] for w in re.findall(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+", text)])
     first, *rest = text.split(SPACE)
