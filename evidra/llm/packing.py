@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from evidra.llm.common import table
 
 WINDOW, END_ID, BUCKET_DOCS = 1024, 0, 4096
+SLICE = 256  # documents whose ids a task holds at once
 _UNSURE = re.compile(r"\s \S|\S \s|\s\s")
 
 
 class Ids(dict):
     """Word after a space to its packed ids; two generations of at most ``most`` words bound it."""
 
-    def __init__(self, encode, most: int = 400_000) -> None:
+    def __init__(self, encode, most: int = 150_000) -> None:
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
@@ -135,7 +136,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (whole.slice(s, SLICE) for whole in batches for s in range(0, len(whole), SLICE)):
             rows: list[tuple] = []
             at: list[int] = []
             for i, t in enumerate(b.column("text")):
