@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from evidra.llm.common import table
 
 WINDOW, END_ID, BUCKET_DOCS = 1024, 0, 4096
+BUCKET_DOCS_IDS = 1024  # where the ids travel with the pieces, a task holds a bucket's ids several times over
 SLICE = 256  # documents whose ids a task holds at once
 _UNSURE = re.compile(r"\s \S|\S \s|\s\s")
 
@@ -128,9 +129,9 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
-def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.tiktoken", bucket_docs: int = BUCKET_DOCS, keep_ids: bool = True) -> DataFrame:
+def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.tiktoken", bucket_docs: int | None = None, keep_ids: bool = True) -> DataFrame:
     """A row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
-    buckets = max(1, -(-df.count() // bucket_docs))
+    buckets = max(1, -(-df.count() // (bucket_docs or (BUCKET_DOCS_IDS if keep_ids else BUCKET_DOCS))))
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("key", "text"), F.lit(buckets)).cast("long"))
     kind = src.schema["key"].dataType.simpleString()
 
