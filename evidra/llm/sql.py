@@ -15,13 +15,13 @@ WITH RECURSIVE w AS (
 ), links AS (
   SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
 ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach(id, at) AS (
+), reach(id, met) AS (
   SELECT doc_id, doc_id FROM documents
-  UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.at
+  UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.met
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
-JOIN (SELECT id, min(at) AS component_id FROM reach GROUP BY 1) r ON r.id = d.doc_id
+JOIN (SELECT id, min(met) AS component_id FROM reach GROUP BY 1) r ON r.id = d.doc_id
 """
 
 _GROUP = "(concat('0x', substr(sha1(p), 10 * g + 1, 10)))::BIGINT"
