@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import text as X
+from evidra.operators import aliases as A
 from evidra.operators import bootstrap as B
 from evidra.operators.turns import Budget, pack_turns
 from evidra.streaming import streams as S
@@ -29,6 +30,12 @@ def chunk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_turns(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", Budget(size=120, overlap=20))
 
 
+def alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of ``nation`` and four license words in all documents."""
+    words = spark.createDataFrame([(w,) for w in ("license", "version", "apache", "mit")], "alias string")
+    return A.alias_scan(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "nation").select(F.col("n_name").alias("alias")).unionByName(words))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     return c.groupBy(F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").alias("item")).agg(F.avg("c_acctbal").alias("value"))
@@ -46,7 +53,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_to_end(S.event_windows(S.events_stream(spark, sf_dir)), S.shared_folder(spark, "event-windows"))
 
 
-QUERIES = {f.__name__: f for f in (md_sections, chunk_windows, chunk_turns, bootstrap_means, bootstrap_differences, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (md_sections, chunk_windows, chunk_turns, alias_scan, bootstrap_means, bootstrap_differences, stream_event_windows)}
 _NAME = "printf('%s::chunk::%04d', doc_id::VARCHAR, {})"
 SQL = {
     "chunk_windows": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents), "

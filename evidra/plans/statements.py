@@ -157,7 +157,7 @@ def enrich_docs(d):
 
 @plan
 def alias_scan(d):
-    """Token equi-join instead of documents x aliases; single-word aliases need no further check."""
+    """The oracle only, and of single-word aliases only: the query is ``operators.aliases.alias_scan``, tested against a regex loop."""
     words = d.distinct(d.all("lower(text)", "[a-z0-9]+"))
     return f"SELECT t.doc_id, a.alias FROM (SELECT doc_id, w FROM documents {d.unnest(words, 'u', 'w')}) t JOIN (SELECT DISTINCT lower(e) AS alias FROM (SELECT n_name AS e FROM nation UNION ALL SELECT 'license' UNION ALL SELECT 'version' UNION ALL SELECT 'apache' UNION ALL SELECT 'mit') z) a ON a.alias = t.w"
 
