@@ -402,12 +402,12 @@ def dedupe_first(d):
 
 @plan
 def pii_aliases(d):
-    return f"SELECT doc_id, v AS value, concat('EMAIL_', lpad(cast(row_number() OVER (PARTITION BY doc_id ORDER BY place, v) as varchar(9)), 3, '0')) AS alias FROM (SELECT doc_id, v, min(instr(text, v)) AS place FROM (SELECT doc_id, text, v FROM documents {d.unnest(d.all('text', '[A-Za-z0-9._]+@[A-Za-z0-9.]+[.][a-z]+'), 'u', 'v')}) x GROUP BY doc_id, v) y"
+    return f"SELECT doc_id, v AS value, concat('EMAIL_', {d.padded('row_number() OVER (PARTITION BY doc_id ORDER BY place, v)', 3)}) AS alias FROM (SELECT doc_id, v, min(instr(text, v)) AS place FROM (SELECT doc_id, text, v FROM documents {d.unnest(d.all('text', '[A-Za-z0-9._]+@[A-Za-z0-9.]+[.][a-z]+'), 'u', 'v')}) x GROUP BY doc_id, v) y"
 
 
 @plan
 def message_ids(d):
-    return "SELECT conv_id, turn, concat(cast(conv_id as varchar(19)), '::msg::', lpad(cast(turn as varchar(9)), 4, '0')) AS message_id FROM conversations WHERE turn < 10000"
+    return f"SELECT conv_id, turn, concat(cast(conv_id as varchar(19)), '::msg::', {d.padded('turn', 4)}) AS message_id FROM conversations{d.fits('turn', 4)}"
 
 
 @plan
@@ -606,7 +606,7 @@ def message_role(d):
 
 @plan
 def transcript(d):
-    m = "concat('<MESSAGE id=', lpad(cast(turn as varchar(9)), 4, '0'), ' role=', role, '>', text, '</MESSAGE>')"
+    m = f"concat('<MESSAGE id=', {d.padded('turn', 4)}, ' role=', role, '>', text, '</MESSAGE>')"
     return f"SELECT conv_id, {d.join(d.items(m, 'turn'), ' ')} AS transcript FROM conversations GROUP BY conv_id"
 
 
