@@ -33,11 +33,13 @@ class Rule:
     """``pattern`` finds, leftmost and longest; a span that ``keep`` doesn't match whole is dropped afterwards.
 
     Least lengths stand in ``keep``: counters in patterns that can begin inside each other would multiply states.
+    For the same reason ``tail`` is read only once ``pattern`` is found: the span goes on over its longest match.
     """
 
     kind: str
     pattern: str
     keep: str = ""
+    tail: str = ""
 
 
 #: The base rules, in the order in which kinds are listed.
@@ -46,11 +48,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", r".{20,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: What stands between a key's lines, also where the text quotes, indents or escapes it; its headers; its lines.
+_GAP, _HEAD, _LINE = r"(?:[\x20\t\r\n\"'>#*|,+]|\\+[nrt]?)", r"[A-Z][A-Za-z]*-[A-Za-z]+:\x20?[A-Za-z0-9,-]+", r"[A-Za-z0-9+/=]"
+#: A key is all up to its END line, which no other line of five hyphens precedes. Where none follows, it is what looks like
+#: its headers and lines: runs of 20 and more, and after these the rest of a last line.
+_KEY = rf"(?:(?:[^-]|-{{1,4}}[^-])*-{{5,}}END (?:[A-Z]+ )*PRIVATE KEY-----|(?:{_GAP}+{_HEAD})*(?:{_GAP}+{_LINE}{{20,}})+(?:{_GAP}+{_LINE}+)?|(?:{_GAP}+{_HEAD})*)"
 #: Public token formats, which the combined automaton finds in the same pass.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r".{40,}"),
     Rule("slack", r"xox[baprs]-[A-Za-z0-9-]+", r".{20,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", tail=_KEY),
 )
 
 
@@ -64,7 +71,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]) -> None:
         self.rules = rules
         self.start = self._rows(compile_rules([r.pattern for r in rules], anywhere=True))
-        self.whole = [compile_rules([r.pattern], anywhere=False) for r in rules]
+        self.whole = [compile_rules([r.pattern + r.tail], anywhere=False) for r in rules]
         self.back = [compile_rules([_reversed(r.pattern)], anywhere=False) for r in rules]
         self.keep = [re.compile(r.keep.encode()) if r.keep else None for r in rules]
 
