@@ -13,12 +13,14 @@ for the guarantee sign the whole domain too and, if that is still too little, th
 
 Sets that share a signature become candidates: all pairs in a group of a few, else stars around three
 centres. A bound from 256 counts per set prunes pairs, and the rest are verified on their whole texts.
-Groups larger than that whose members then lie in several components are searched again for every pair
-across components, in blocks, so no link is lost. Equal sets are one class from the start.
+Larger groups whose members then lie in several components are searched again across components, in blocks
+of whole sets, and only links that join two components are given out: no link is lost, and rows grow with
+the sets, not with their pairs. Equal sets are one class from the start.
 
 Shingles and sets are compared by 64-bit hashes. Defined cases: texts without words (null, empty) have an
-empty set and link with nothing, not even each other; repeated rows belong to one component; an empty
-table gives an empty result; other columns aren't read.
+empty set and link with nothing, not even each other; repeated rows belong to one component; rows whose key
+is null count their shingles, make no links, and take the component of an equal set with a key, else null;
+very long texts are read whole, one at a time; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,11 @@ from evidra.llm.components import components
 from evidra.llm.shingles import mixed, shingle_set
 
 U = np.uint64
-CELLS, ALL_PAIRS, CENTRES, BLOCK = 256, 8, 3, 2048
+CELLS, ALL_PAIRS, CENTRES = 256, 8, 3
+#: Sets, and shingles of all of them, that a task of the search across components holds on either side, on average.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Shingles of all documents for each bucket of signatures; a set sends about a third as many signatures.
+BUCKET_SHINGLES = 12_000_000
 #: A shingle in this share of all documents (and in 64 at least) is frequent: at most mean set size / share of them.
 FREQUENT, FREQUENT_LEAST, SEEN_IN_BATCH = 1 / 1000, 64, 4
 
@@ -105,7 +111,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _documents(src: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, class, cells), and rows (shingle, seen) of those often seen in a batch."""
+    """A row per document (doc_id, n, class, cells), and rows (shingle, seen), n null, of those often seen in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,10 +249,13 @@ def _groups(sent: DataFrame, buckets: int) -> DataFrame:
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, gid long, members binary")
 
 
-def possible(na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """Whether sizes and counts leave room for a link: pairs differ in (na + nb) / 7 shingles at most."""
+def possible(na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes and counts leave room for a link, and by how many shingles the sets differ at least.
+
+    Linked pairs differ in (na + nb) / 7 shingles at most.
+    """
     apart = np.abs(ca.astype(np.int16) - cb.astype(np.int16)).sum(1, dtype=np.int64)
-    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * apart <= na + nb)
+    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * apart <= na + nb), apart
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -257,7 +266,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             k = len(b)
             mat = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(k, CELLS) for c in ("cells_a", "cells_b")]
-            ok = possible(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), *mat) if k else np.zeros(0, bool)
+            ok = possible(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), *mat)[0] if k else np.zeros(0, bool)
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([b.column(c).take(keep) for c in ("rep_a", "rep_b")], names=["a", "b"])
 
@@ -288,68 +297,108 @@ def _verified(pairs: DataFrame, src: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidates (a, b) of one group that lie in different components, by blocks of members."""
+def _sets(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """(class, rep, shingles) of the documents ``ids`` (one column rep), from their whole texts."""
+    need, _ = split_by_ids(src, ids, "doc_id")
+    need = need.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, len(b), 256):
+                part = b.slice(s, 256)
+                sets = [shingle_set(t.as_py()) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([pa.array([set_class(x) if len(x) else None for x in sets], pa.int64()), part.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "rep", "shingles"])
+
+    return written(need.select("doc_id", "text").mapInArrow(run, "class long, rep long, shingles binary").dropDuplicates(["class"]), "jaccard-sets")
+
+
+def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFrame) -> DataFrame:
+    """Links (a, b) between components that meet in a group: at most one fewer a task than it has components.
+
+    A group that meets one component only is done. Each other group goes to its main component, the one with
+    most members there, and a component's groups are one search: a set is moved to it once, however many of the
+    groups hold it. Sets of other components ask; all sets are asked, since two of the main one need no link.
+    The asked lie in blocks and the asking in slices of some thousand sets, so no task holds a whole component.
+    """
+
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g, m in zip(b.column("gid").to_pylist(), b.column("members"), strict=True):
                 m = np.frombuffer(m.as_py(), np.int64)
-                k = len(m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, g)), pa.array(m), pa.array((np.arange(k) // BLOCK).astype(np.int32)), pa.array(np.full(k, -(-k // BLOCK), np.int32))], names=["gid", "class", "block", "blocks"])
+                for s in range(0, len(m), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m[s : s + 50_000]), g)), pa.array(m[s : s + 50_000])], names=["gid", "class"])
 
     name = comp.select(F.col("id").alias("rep"), "component")
-    known = classes.join(name, "rep", "left").select("class", "rep", "n", "cells", F.coalesce("component", "rep").alias("component"))
-    rows = written(groups.mapInArrow(members, "gid long, class long, block int, blocks int").join(known.select("class", "component"), "class"), "jaccard-members")
-    open_ = rows.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("gid")
-    rows = rows.join(open_, "gid").join(known.drop("component"), "class")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("gid", "rep", "n", "cells", "component", "block", other).select("gid", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "n", "cells", "component")
-
-    def pairs(pdf):
+    known = classes.join(name, "rep", "left").select("class", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    rows = written(groups.mapInArrow(members, "gid long, class long").join(known, "class"), "jaccard-members")
+    most = rows.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("gid").agg(F.max(F.struct("held", "component")).alias("most"), F.count(F.lit(1)).alias("met"))
+    main = most.where("met > 1").select("gid", F.col("most.component").alias("main"))
+    unit = written(rows.join(main, "gid").select("main", "class", "rep", "n", "component").distinct(), "jaccard-search")
+    asks = F.col("component") != F.col("main")
+    parts = lambda who: F.ceil(F.greatest(F.sum(F.when(who, 1)) / BLOCK, F.sum(F.when(who, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+    size = unit.groupBy("main").agg(parts(F.lit(True)).alias("blocks"), parts(asks).alias("slices"))
+    wide = unit.join(size, "main").join(_sets(src, unit.select("rep").distinct()).select("class", "shingles"), "class")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
+    to = ["main", "block", "slice", "asks", "rep", "component", "shingles"]
+    asked = wide.select("*", own("blocks", 0).alias("block"), every("slices").alias("slice"), F.lit(False).alias("asks")).select(*to)
+    asking = wide.where(asks).select("*", every("blocks").alias("block"), own("slices", 1).alias("slice"), F.lit(True).alias("asks")).select(*to)
+
+    def search(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        cel = np.frombuffer(b"".join(pdf["cells"]), np.uint8).reshape(len(pdf), CELLS)
-        n, c, blk, rep = (pdf[x].to_numpy() for x in ("n", "component", "block", "rep"))
-        cross = pdf["p"].iloc[0] != pdf["q"].iloc[0]
+        sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
+        n = np.array([len(x) for x in sets])
+        order = np.lexsort((pdf["rep"].to_numpy(), n))  # by size, so a set's partners lie together
+        cel = np.frombuffer(b"".join([cells(x) for x in sets]), np.uint8).reshape(len(sets), CELLS)
+        rep, comp_of, asking = (pdf[c].to_numpy() for c in ("rep", "component", "asks"))
+        comp_of = comp_of.copy()
+        asked = order[~asking[order]]
+        sizes = n[asked]
         out = []
-        for i in range(len(pdf)):
-            j = np.flatnonzero((c[i + 1 :] != c[i]) & (~np.bool_(cross) | (blk[i + 1 :] != blk[i]))) + i + 1
-            if len(j):
-                ok = possible(np.full(len(j), n[i]), n[j], np.broadcast_to(cel[i], (len(j), CELLS)), cel[j])
-                out += [(rep[i], x) for x in rep[j[ok]]]
+        for x in order[asking[order]].tolist():
+            lo, hi = np.searchsorted(sizes, [-(-3 * n[x] // 4), 4 * n[x] // 3 + 1])
+            y = asked[lo:hi]
+            y = y[comp_of[y] != comp_of[x]]
+            ok, apart = possible(np.full(len(y), n[x]), n[y], np.broadcast_to(cel[x], (len(y), CELLS)), cel[y])
+            y = y[ok]
+            for j in y[np.argsort(apart[ok], kind="stable")].tolist():
+                if comp_of[j] != comp_of[x] and linked(len(np.intersect1d(sets[x], sets[j], assume_unique=True)), n[x], n[j]):
+                    out.append((rep[x], rep[j]))
+                    comp_of[comp_of == comp_of[j]] = comp_of[x]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("gid", "p", "q").applyInPandas(pairs, "a long, b long").distinct()
+    return asked.unionByName(asking).groupBy("main", "block", "slice").applyInPandas(search, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, n_shingles, component_id of every row: components under Jaccard of 3/4 or more."""
     spark = df.sparkSession
-    src = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    every = written(_documents(src), "jaccard-documents")
-    docs = every.where("doc_id is not null").select("doc_id", "n", "class", "cells")
-    total = docs.count()
+    every = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    found = written(_documents(every), "jaccard-documents")
+    docs = found.where("n is not null").select("doc_id", "n", "class", "cells")
+    src = every.where("doc_id is not null")
+    total, shingles = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(FREQUENT_LEAST, int(total * FREQUENT))
-    often = every.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("shingle").collect()
+    often = found.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("shingle").collect()
     frequent = np.sort(np.array([r.shingle for r in often], np.int64).view(U))
-    buckets = max(1, partitions(spark))
-    classes = written(docs.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("cells").alias("cells"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
+    buckets = max(1, partitions(spark), -(-shingles // BUCKET_SHINGLES))  # a task holds one bucket
+    classes = written(docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("cells").alias("cells")), "jaccard-classes")
     found = written(_groups(_send(src, frequent, buckets), buckets), "jaccard-groups")
     pairs = written(_pruned(found.where("a is not null").select("a", "b").distinct(), classes), "jaccard-pairs")
     links = written(_verified(pairs, src), "jaccard-links")
     comp = written(components(links), "jaccard-components")
     groups = found.where("gid is not null").select("gid", "members").dropDuplicates(["gid"])
-    more = written(_across(groups, classes, comp).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+    more = written(_across(groups, classes, comp, src), "jaccard-more")
     if more.limit(1).count():
-        links = links.unionByName(_verified(more, src))
-        comp = written(components(links), "jaccard-components")
-    of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class", "copies", F.coalesce("component", "rep").alias("component_id"))
+        comp = written(components(links.unionByName(more)), "jaccard-components")
+    copies = docs.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    of = copies.join(classes.select("class", "rep"), "class").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class", "copies", F.coalesce("component", "rep").alias("component_id"))
     hot = F.col("copies") >= max(2, total // 500)  # at most 500 classes
     few = F.broadcast(of.where(hot).select("class", F.col("component_id").alias("hot_id")))
     rows = docs.select("doc_id", "n", "class").join(few, "class", "left")
     done = rows.where("hot_id is not null or class is null").select("doc_id", "n", F.coalesce("hot_id", "doc_id").alias("component_id"))
-    rest = rows.where("hot_id is null and class is not null").join(of.where(~hot), "class").select("doc_id", "n", "component_id")
+    rest = rows.where("hot_id is null and class is not null").join(of.where(~hot), "class", "left").select("doc_id", "n", "component_id")
     return done.unionByName(rest).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 

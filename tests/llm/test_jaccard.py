@@ -53,7 +53,7 @@ def test_similar_sets_share_a_signature():
             for frequent in (np.zeros(0, np.uint64), np.sort(a[: n // 2]), a):
                 assert len(np.intersect1d(J.signatures(a, frequent), J.signatures(b, frequent)))
             ca, cb = (np.frombuffer(J.cells(x), np.uint8)[None] for x in (a, b))
-            assert J.possible(np.array([len(a)]), np.array([len(b)]), ca, cb).all()
+            assert J.possible(np.array([len(a)]), np.array([len(b)]), ca, cb)[0].all()
 
 
 def made(seed=4):
@@ -96,6 +96,35 @@ def test_large_groups_are_completed(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()} == brute(texts)
 
 
+def test_a_large_family(spark, monkeypatch):
+    """1,500 near copies that mostly lie too far from the centres: whole result, and fewer links than sets in the second search."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(48)]
+    texts = []
+    for d in range(1500):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            t[rng.randrange(48)] = f"x{rng.randrange(40)}"
+        texts.append((d, " ".join(t)))
+    given = []
+    real = J._across
+    monkeypatch.setattr(J, "_across", lambda *a: given.append(out := real(*a)) or out)
+    monkeypatch.setattr(J, "BLOCK", 200)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(df).collect()}
+    assert got == {d: c for d, (_, c) in brute(texts).items()}
+    assert 0 < given[0].count() < 1500
+
+
+def test_null_keys_and_clashing_columns(spark):
+    rows = [(None, "a b c d e f", "x", 1), (4, "a b c d e f", "y", 2), (None, "q r s", "z", 3), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class string, component_id int")
+    got = sorted(map(tuple, J.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(None, 2, 4), (4, 2, 4), (None, 1, None), (None, 0, None)], key=str)
+    kept = J.one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == 4
+
+
 def test_query(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.op5_jaccard(spark, sf_dir).collect()} == brute(texts)
