@@ -8,8 +8,11 @@ half are the text. Potentials are trained from labelled pages (``labelled_pages`
 whose blocks carry their label) by maximum likelihood, with the same messages giving the gradient.
 
 Defined cases: null html is empty and has no text; unclosed or misnested tags and cut pages are read as
-far as they go; pages without tags are one block; repeated rows get equal text; an empty table gives an
-empty one; other columns stay, clashing ones are replaced.
+far as they go, and an unclosed script, style, title or textarea to the page's end; formulas and the text in
+drawings are text like other; pages without tags are one block; a marginal of exactly one half counts as
+content (ties); very long and very deep pages are read whole, one at a time, in time in proportion to their
+length; repeated rows get equal text; an empty table gives an empty one; other columns stay, clashing ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from evidra.llm.common import table, with_columns
 
 #: HTML's element kinds.
 BLOCKS = set("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW = set("script style template noscript title textarea iframe noembed noframes xmp svg math head".split())
+RAW = set("script style template noscript title textarea iframe noembed noframes xmp".split())
+TO_THE_END = {"script", "style", "title", "textarea"}  # without an end tag these run to the page's end
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "table", "dl", "select", "td", "th", "body", "html", "div", "article", "section", "main"}
@@ -38,7 +42,7 @@ SCOPE = {"ul", "ol", "table", "dl", "select", "td", "th", "body", "html", "div",
 WORDS = "nav menu navbar navigation breadcrumb breadcrumbs topbar header masthead footer foot copyright sidebar side aside rail ad ads advert advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus reply respond discussion form search login signup subscribe newsletter social share sharing related recommended more tags widget toolbar pagination pager skip legal disclaimer contentinfo complementary article content main post entry story body text page wrapper container column hentry prose".split()
 _KNOWN = set(WORDS)
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|style|data-l|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 EDGES = ("#", "p", "li", "ul", "div", "section", "td", "h1", "h2", "h3", "article", "main", "body", "header")
 _SIZES = (1, 25, 80, 250, 1000)
 
@@ -51,20 +55,46 @@ class Node:
         self.text, self.chars, self.links, self.commas = "", 0, 0, 0
 
 
-def dom(page: str) -> list[Node]:
-    """Block elements and text runs (tag ``#``), parents before children, in page order."""
+class Open:
+    """The open elements; the nearest of some tags is found from each tag's own stack, however deep the page nests."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["html"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+
+
+def dom(page: str, labelled: bool = False) -> list[Node]:
+    """Block elements and text runs (tag ``#``), parents before children, in page order.
+
+    ``labelled``: whether the page is one to train on, whose ``data-l`` are labels.
+    """
     nodes = [Node("html", -1)]
-    stack = [0]
+    stack = Open()
     run: list[str] = []
     linked = 0
     in_link = False
+    ended: set[str] = set()  # raw tags of which no end tag follows
 
     def close_run() -> None:
         nonlocal linked
         if run:
             text = " ".join("".join(run).split())
             if text:
-                n = Node("#", stack[-1])
+                n = Node("#", stack.nodes[-1])
                 n.text, n.chars, n.links, n.commas = text, len(text), min(linked, len(text)), len(re.findall(r"[.,;:!?。、]", text))
                 nodes.append(n)
             run.clear()
@@ -97,18 +127,18 @@ def dom(page: str) -> list[Node]:
         if closing:
             if tag == "a":
                 in_link = False
-            if tag in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == tag:
-                        close_run()
-                        del stack[i:]
-                        in_link = False
-                        break
+            if tag in BLOCKS and (place := stack.nearest((tag,))):
+                close_run()
+                stack.close(place)
+                in_link = False
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at) if tag != "head" else None
-            if tag != "head":
-                at = page.find(">", end.start()) + 1 or n if end else n
+            end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at) if tag not in ended else None
+            if end:
+                at = page.find(">", end.start()) + 1 or n
+            else:
+                ended.add(tag)
+                at = n if tag in TO_THE_END else at
             continue
         if tag == "br":
             run.append(" ")
@@ -120,29 +150,23 @@ def dom(page: str) -> list[Node]:
             continue
         close_run()
         in_link = False
-        if nodes[stack[-1]].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[i]].tag
-                if t in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if t in SCOPE:
-                    break
+        if stack.tags[-1] == "p":
+            stack.close(len(stack.nodes) - 1)
+        if tag in CLOSES and (place := stack.nearest(CLOSES[tag])) > stack.nearest(SCOPE - CLOSES[tag]):
+            stack.close(place)
         if tag == "html" or tag == "hr":
             continue
         tokens, label = [], None
         for a in _ATTR.finditer(m[3]) if m[3] else ():
-            name, value = (a[1] or a[5]).lower(), a[2] or a[3] or a[4] or ""
-            if name == "data-l":
+            name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if name == "data-l" and labelled:
                 label = int(value)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 tokens.append("*hidden")
-            elif name != "style":
+            elif name in ("class", "id", "role"):
                 tokens += [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w in _KNOWN]
-        nodes.append(Node(tag, stack[-1], tuple(dict.fromkeys(tokens)), label))
-        stack.append(len(nodes) - 1)
+        nodes.append(Node(tag, stack.nodes[-1], tuple(dict.fromkeys(tokens)), label))
+        stack.push(len(nodes) - 1, tag)
     close_run()
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[nodes[i].parent]
@@ -240,7 +264,7 @@ def train(pages: list[str], steps: int = 120, rate: float = 0.3, ridge: float =
     kinds = {k: i for i, k in enumerate((*EDGES, "block"))}
     trees, rows, ys, joint = [], [], [], []
     for page in pages:
-        nodes = dom(page)
+        nodes = dom(page, labelled=True)
         y = labels_of(nodes)
         rows += [[names.setdefault(c, len(names)) for c in clues(x, nodes)] for x in nodes]
         ys += y
@@ -277,7 +301,7 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[str]:
     rng = random.Random(seed)
     syllables = "an ba co de el fi gor ha in ju ka lo mi no or pa qu ri sa ten ur vi wo xe yo zu ich heit ción que the ing".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    noisy = lambda: rng.choice(["", "", "", "", "%%%", " |", "!!"])
+    noisy = lambda: rng.choice(["", "", "", "", " -", " /", "..."])
 
     def words(a: int, b: int) -> str:
         tail = noisy()
@@ -309,6 +333,10 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[str]:
             return f"<pre>{words(5, 30)}</pre>"
         if kind < 0.95:
             return "<table>" + "".join(f"<tr><td>{words(1, 5)}</td><td>{words(1, 9)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+        if kind < 0.97:
+            return f'<figure><img src="/{word()}.png"><figcaption>{words(2, 25)}</figcaption></figure>'
+        if kind < 0.98:
+            return f"<p>{words(3, 20)} <math><mi>{word()}</mi><mo>=</mo><mn>{rng.randint(2, 99)}</mn></math> {words(2, 30)}</p>"
         return f"<div>{words(5, 60)}</div>"
 
     def junk(inside: bool = False) -> str:

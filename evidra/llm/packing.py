@@ -6,16 +6,18 @@ least room that holds it, which a segment tree over remaining capacities finds.
 buckets of some thousand documents, dealt by a hash of document and text, so memory is bounded and a
 task that runs again gives the same rows; a bucket leaves a few sequences partly filled.
 
-Ids are those of the tokenizer file; special tokens' strings in a text count as ordinary text. Words
-between single spaces are looked up in a bounded cache of their ids, as no token crosses such a space.
+Ids are those of the tokenizer file, also for special tokens' strings in a text. Words between single
+spaces are looked up in a bounded cache of their ids, as no token crosses such a space.
 
 Defined cases: null text is empty, and an empty document is the end id alone; repeated rows are packed
-as often as they occur; an empty table gives an empty result; other columns aren't read.
+as often as they occur; rows of a null key are packed like others; of pieces of equal length the smaller
+key goes first; very long texts are encoded whole, one at a time; an empty table gives an empty result;
+other columns aren't read.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -53,18 +55,32 @@ class Ids(dict):
         return got
 
 
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Bytes to id of a byte-level BPE file whose ids rise in the order of its merges, and special tokens to theirs.
+
+    Such files write each byte as a printable character: itself where it prints, else one of those from 256 on.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}, special
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str):
-    """text to packed little-endian 32-bit ids, for a byte-level BPE given as ranks."""
+    """text to packed little-endian 32-bit ids; a special token's string in a text is that token, as for the library."""
     import public_tokenizers as P
     import tiktoken
 
-    with open(P.path(name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks, special = vocabulary(P.path(name))
     enc = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     ids = Ids(enc)
+    parted = re.compile("|".join(f"({re.escape(t)})" for t in sorted(special, key=len, reverse=True)) or "(?!)")
+    packed = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
 
-    def encode(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if len(text) < 2 or _UNSURE.search(text):
             out, at = [], 0
             for m in re.finditer(r"(?<=\S)(?= \S)", text):  # no token spans these places
@@ -75,6 +91,13 @@ def encoder(name: str):
         first, *rest = text.split(" ")
         return np.array(enc(first), "<u4").tobytes() + b"".join(map(ids.__getitem__, rest))
 
+    def encode(text: str) -> bytes:
+        out, at = [], 0
+        for m in parted.finditer(text):
+            out += [plain(text[at : m.start()]), packed[m[0]]]
+            at = m.end()
+        return plain(text) if not out else b"".join([*out, plain(text[at:])])
+
     return encode
 
 
@@ -129,7 +152,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
-def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.tiktoken", bucket_docs: int | None = None, keep_ids: bool = True) -> DataFrame:
+def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", bucket_docs: int | None = None, keep_ids: bool = True) -> DataFrame:
     """A row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
     buckets = max(1, -(-df.count() // (bucket_docs or (BUCKET_DOCS_IDS if keep_ids else BUCKET_DOCS))))
     src = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bucket", F.pmod(F.xxhash64("key", "text"), F.lit(buckets)).cast("long"))

@@ -3,12 +3,16 @@
 Text is read character by character. The search keeps, since the last commit, the best score and the
 backpointer of each boundary; only boundaries within one maximum piece length of the newest can still be
 extended, so as soon as their backpointer paths all pass one boundary, the ids before it are final and
-are given out. Memory is the window, however long the text.
+are given out. The window is what no such boundary has yet closed: a few piece lengths in prose. In a run of
+one character paths of different phase never meet, so such a run is held whole, at a number and a character
+for each of its places; whether paths meet is looked up each time the window has doubled, so the whole search
+takes time in proportion to the text.
 
 Pieces and scores come from a model file; the search maximises the sum of scores, as the library does for
 unigram models. For a file of BPE type, merge order and best sum can differ: the ids are those of the
-library's unigram mode over the same pieces, and decode to the same text. Where no piece of the file
-spans a word boundary, words are independent, and a bounded cache keeps their ids.
+library's unigram mode over the same pieces, and decode to the same text. Where no piece of the file spans a word
+boundary, every path passes each of them: the search commits there, and as it then starts anew, a bounded
+cache keeps what it gave for a word.
 
 Defined cases: null text counts as empty and has no ids; characters without a piece become byte pieces,
 or the unknown id where the file has none; U+2581 in a text decodes to a space; repeated rows get equal
@@ -22,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -133,23 +138,31 @@ class Stream:
         self.back: list[int] = [0]
         self.done = 0  # starts whose pieces are entered
         self.window = 0
+        self.look = 0  # the window at which to look for a common boundary again
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         out: list[int] = []
-        m = self.m
-        for at in range(0, len(text) or 1, self.EVERY):
-            self.text += text[at : at + self.EVERY]
+        m, at = self.m, 0
+        while True:
+            step = max(self.EVERY, len(self.text) // 4)
+            self.text += text[at : at + step]
+            at += step
+            ends = last and at >= len(text)
             n = len(self.text)
             self.window = max(self.window, n)
             self.best += [NONE] * (n + 1 - len(self.best))
             self.back += [0] * (n + 1 - len(self.back))
-            end = n if last and at + self.EVERY >= len(text) else n - m.longest + 1
-            self._enter(end)
-            if last and at + self.EVERY >= len(text):
+            self._enter(n if ends else n - m.longest + 1)
+            if ends:
                 out += self._commit(n)
-            elif self.done > 0:
-                out += self._commit(self._agreed())
-        return out
+            elif self.done > 0 and n >= self.look:
+                if to := self._agreed():
+                    out += self._commit(to)
+                    self.look = 0
+                else:
+                    self.look = 2 * n
+            if at >= len(text):
+                return out
 
     def _enter(self, end: int) -> None:
         text, best, back, worst = self.text, self.best, self.back, self.m.worst
@@ -171,12 +184,13 @@ class Stream:
     def _agreed(self) -> int:
         """The last boundary that all paths still open pass."""
         # piece starts that are not entered yet lie at ``done`` or later, so every path passes some boundary of the last piece length
-        open_ = {j for j in range(self.done, len(self.best)) if self.best[j] > NONE}
+        open_ = [-j for j in range(self.done, len(self.best)) if self.best[j] > NONE]
+        heapify(open_)
         while len(open_) > 1:
-            top = max(open_)
-            open_.remove(top)
-            open_.add(self.back[top])
-        return open_.pop() if open_ else 0
+            top = -heappop(open_)
+            if -open_[0] != top:
+                heappush(open_, -self.back[top])
+        return -open_[0] if open_ else 0
 
     def _commit(self, to: int) -> list[int]:
         if to <= 0:

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 from evidra.llm.html_text import Node, dom, extract_text, kind_of, labelled_pages, labels_of, main_text, model, op2_html_text
 
@@ -26,7 +27,7 @@ def test_marginals_against_enumeration():
 def test_held_out_layouts():
     right = every = 0
     for page in labelled_pages(150, seed=99):
-        nodes = dom(page)
+        nodes = dom(page, labelled=True)
         for x, y, q in zip(nodes, labels_of(nodes), model().marginals(nodes)):
             if x.tag == "#":
                 every += 1
@@ -50,6 +51,25 @@ def test_query(spark):
         assert not bad, bad[:5]
 
 
+def test_hostile_pages_take_time_in_proportion():
+    n = 20_000
+    pages = ["<div>" * n + "</p>" * n, "<td>" + "<div>" + "<blockquote>" * n + "<td></td>" * n, "<template>" * n + "x", "<li>" * n, "<p a='>" * n, '<div a=">' * n, "<!-- " * n, "<" * n]
+    for page in pages:
+        began = time.process_time()
+        main_text(page, model())
+        assert time.process_time() - began < 12, page[:20]
+
+
+def test_content_that_is_kept():
+    long = "One sentence, of some ten words, that tells about a thing. " * 4
+    page = f'<div data-l="x" data-class="ad nav" title="hidden gem"><article><h1>The title</h1><p>{long}</p><figure><img src=x><figcaption>What the picture shows.</figcaption></figure><p>Since <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds, {long}</p><svg class="icon"/><p>After the icon. {long}</p><template><p>{long}</p></article></div>'
+    got = main_text(page, model())
+    want = ["The title", long.strip(), "What the picture shows.", f"Since a=2 holds, {long.strip()}", f"After the icon. {long.strip()}", long.strip()]
+    assert got == "\n\n".join(want)
+    x = next(x for x in dom(page) if x.tag == "div")
+    assert x.tokens == () and x.label is None
+
+
 def test_odd_pages(spark):
     m = model()
     assert main_text(None, m) == main_text("", m) == ""

@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -5,19 +6,27 @@ import numpy as np
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidra.llm.packing import best_fit_decreasing, encoder, op8_packing, pack_documents
+from evidra.llm.packing import best_fit_decreasing, encoder, op8_packing, pack_documents, vocabulary
 
 TOK = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-TOK.encode_special_tokens = True
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", "\t", "é", "don't", "12", "!!", " ", "　", "\x1c", "\x85", "<|endoftext|>", "日本"]), max_size=14))
 def test_ids_like_the_library(parts):
     text = "".join(parts)
-    assert np.frombuffer(encoder("byte_bpe_50k.tiktoken")(text), "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder("byte_bpe_50k.json")(text), "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_and_vocabulary():
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>\n"
+    got = np.frombuffer(encoder("byte_bpe_50k.json")(text), "<u4").tolist()
+    assert got == TOK.encode(text, add_special_tokens=False).ids and got.count(50256) == 3
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        assert vocabulary(P.path("byte_bpe_50k.json"))[0] == {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 def test_best_fit_against_search():
@@ -69,9 +78,12 @@ def test_query(spark, sf_dir):
 
 
 def test_odd_rows(spark):
-    texts = {1: None, 2: "", 3: "word " * 3000, 4: "two words"}
+    texts = {1: None, 2: "", 3: "word " * 3000, 4: "two words", 5: "x <|endoftext|>"}
     df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, bucket string")
     rows = pack_documents(df).collect()
     check(rows, texts)
+    twice = pack_documents(df.unionByName(df).unionByName(df.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in twice if r.doc_id is not None) == sorted(2 * [(r.doc_id, r.start, r.length) for r in rows])
+    assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice) == 2 * len(rows) + 1
     assert all(len(r.ids) == r.length for r in rows)
     assert pack_documents(df.limit(0)).count() == 0

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -75,6 +76,17 @@ def test_window_stays_small():
     assert n > 2000 and s.window < 40 * m.longest
 
 
+def test_a_run_of_one_character():
+    """Paths of different phase never meet: held whole, in time in proportion to its length."""
+    took = []
+    for n in (50_000, 1_000_000):
+        began = time.process_time()
+        got = Stream(Model(DATA)).feed("a" * n, last=True)
+        took.append(time.process_time() - began)
+        assert Model(DATA).decode(got) == "a" * n
+    assert took[1] < 60 and ids("a" * 3000) == by_search(Model(DATA), Model(DATA).normal("a" * 3000))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60).filter(lambda t: "▁" not in t))
 def test_round_trip(text):

@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from evidra.llm.quality import N_FEATURES, features, fit, op4_quality, score_quality, train
+from evidra.llm.quality import BINS, N_FEATURES, best_bin, features, fit, keep_good, op4_quality, score_quality, statistics, train
 
 
 def auc(s, y):
@@ -18,6 +19,16 @@ def test_positive_unlabelled_on_two_clouds():
     assert (model.scores(a[2200:]) >= 0.5).mean() > 0.95 and (model.scores(b[300:]) < 0.5).mean() > 0.95
 
 
+def test_prior_of_two_clouds():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        a, b = rng.normal(1.5, 1, (6000, 5)), rng.normal(-1.5, 1, (6000, 5))
+        unlabelled = np.concatenate([a[2000 : 2000 + int(4000 * share)], b[: int(4000 * (1 - share))]])
+        m = fit(a[:1000], unlabelled, 0.5, steps=200)
+        spread = lambda x: np.histogram(m.scores(x), BINS, (0, 1))[0].astype(float)
+        assert abs(best_bin(spread(a[1000:2000]), spread(unlabelled)) - share) < 0.07
+
+
 def test_features():
     for t in (b"", b" ", b"\n", "é ü".encode(), b"x" * 100_000, b"\x00\xff"):
         assert len(features(t)) == N_FEATURES and np.isfinite(features(t)).all()
@@ -37,9 +48,23 @@ def test_held_out(spark):
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "a b", 3), (3, "a b", 3)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
-    model = train(df, labels)
+    model = train(statistics(df), labels)
     got = sorted(score_quality(df, model).collect(), key=lambda r: r.doc_id)
     assert got[0].score == got[1].score and got[2].score == got[3].score and got[2].doc_id == 3
-    none = train(df, labels.limit(0))
+    none = train(statistics(df), labels.limit(0))
     assert none is None and {r.score for r in score_quality(df, none).collect()} == {0.5}
     assert score_quality(df.limit(0), model).count() == 0
+    assert train(statistics(df.limit(0)), labels) is None
+    kept = keep_good(df.withColumn("predicted", F.lit("mine")).withColumnRenamed("score", "Score"), labels.limit(0))
+    assert kept.columns == ["doc_id", "text", "Score", "predicted"] and sorted(r.Score for r in kept.collect()) == [1, 2, 3, 3]
+    with_null = df.unionByName(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    assert len({r.score for r in score_quality(with_null, model).where("text = 'a b'").collect()}) == 1
+
+
+def test_prior_of_the_corpus(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    model = train(statistics(spark.read.parquet(f"{d}/documents.parquet")).cache(), labels)
+    share = labels.agg(F.avg("quality")).first()[0]
+    print("prior", model.prior, "share of the labels", share)
+    assert abs(model.prior - share) < 0.1
