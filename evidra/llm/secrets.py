@@ -48,8 +48,9 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", r".{20,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: What stands between a key's lines, also where the text quotes, indents or escapes it; its headers; its lines.
-_GAP, _HEAD, _LINE = r"(?:[\x20\t\r\n\"'>#*|,+]|\\+[nrt]?)", r"[A-Z][A-Za-z]*-[A-Za-z]+:\x20?[A-Za-z0-9,-]+", r"[A-Za-z0-9+/=]"
+#: What stands between a key's lines, also where the text quotes, indents or escapes it; its headers; its lines. A
+#: character that could be of a gap or of a line at any place would multiply states by the lengths counted so far.
+_GAP, _HEAD, _LINE = r"(?:\x20\+?|[\t\r\n\"'>#*|,]|\\+[nrt]?)", r"[A-Z][A-Za-z]*-[A-Za-z]+:\x20?[A-Za-z0-9,-]+", r"[A-Za-z0-9+/=]"
 #: A key is all up to its END line, which no other line of five hyphens precedes. Where none follows, it is what looks like
 #: its headers and lines: runs of 20 and more, and after these the rest of a last line.
 _KEY = rf"(?:(?:[^-]|-{{1,4}}[^-])*-{{5,}}END (?:[A-Z]+ )*PRIVATE KEY-----|(?:{_GAP}+{_HEAD})*(?:{_GAP}+{_LINE}{{20,}})+(?:{_GAP}+{_LINE}+)?|(?:{_GAP}+{_HEAD})*)"
@@ -57,7 +58,7 @@ _KEY = rf"(?:(?:[^-]|-{{1,4}}[^-])*-{{5,}}END (?:[A-Z]+ )*PRIVATE KEY-----|(?:{_
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r".{40,}"),
     Rule("slack", r"xox[baprs]-[A-Za-z0-9-]+", r".{20,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", tail=_KEY),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", tail=rf"{_KEY}(?:BEGIN (?:[A-Z]+ )*PRIVATE KEY-----{_KEY})*"),  # a next key may share the hyphens
 )
 
 
