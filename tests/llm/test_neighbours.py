@@ -1,7 +1,9 @@
 import itertools
 
 import numpy as np
+import pytest
 
+from evidra.llm import neighbours
 from evidra.llm.neighbours import hilbert_keys, nearest, op10_nearest
 from pyspark.sql import functions as F
 
@@ -25,18 +27,40 @@ def truth(rows, k=20, each=20):
     return out
 
 
-def test_recall(spark):
-    for sf in ("sf0.001", "sf0.1"):
-        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
-        want = truth(rows)
-        got = {}
-        for r in op10_nearest(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append(r.vec_id)
-        assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
-        assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall(spark, sf):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want = truth(rows)
+    x = {i: np.array(v, np.float64) for i, v in rows}
+    got = {}
+    for r in op10_nearest(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+    recall = np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want])
+    print(sf, len(rows), "recall", recall)
+    assert recall >= 0.9
+
+
+def test_repeated_rows(spark):
+    """Every row asks for itself and is left out of its own answer alone."""
+    rows = [(i, [1.0 + i % 3, float(i % 5), 2.0]) for i in range(30)]
+    rows += [rows[0], rows[0], rows[20], (20, [9.0, 9.0, 1.0]), (20, [9.0, 9.0, 1.0]), (7, [9.0, 9.0, 1.0])]
+    x = np.array([v for _, v in rows])
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            s = x @ x[i]
+            best = sorted((-s[j], rows[j][0]) for j in range(len(rows)) if j != i)[:20]
+            want += [(q, n + 1, d, -t) for n, (t, d) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for share in (0.15, 1.0):
+        got = [tuple(r) for r in nearest(df, F.col("vec_id") % 20 == 0, share=share, curves=5 if share < 1 else 1).collect()]
+        assert sorted(got) == sorted(want)
 
 
-def test_blocks_and_windows(spark):
+def test_blocks_and_windows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 200)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     want = truth(rows)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
