@@ -5,9 +5,9 @@ quality 0 aren't used. A small network over statistics of the whole text minimis
 risk: with prior p, ``p R+(positives) + max(0, R-(unlabelled) - p R-(positives))``, stepping back up where the
 second part falls below zero.
 
-The class prior is estimated from positives and unlabelled text: a network tells apart half of the positives
-from the corpus; at the score where that is surest, the share of all documents above it, divided by the share
-of the other positives above it, is the estimate (best-bin estimation).
+The class prior is estimated from positives and unlabelled text: networks tell one half of the positives from
+one half of the corpus and score the other halves; at the score where that is surest, the share of all documents
+above it, divided by the share of positives above it, is the estimate (best-bin estimation).
 
 Statistics of every text are written once. The fit starts on a sample of at most about ``most`` positives and as
 many unlabelled rows, a documented bound; its last steps take mean, spread, prior and gradient over all documents,
@@ -32,10 +32,11 @@ from pyspark.sql import types as T
 
 from evidra.llm.common import own_names, table, with_columns, written
 
-#: About the most trusted positives, and the most unlabelled documents of the fit's start; its steps; passes over all documents.
-MOST, HIDDEN, STEPS, PASSES, SEED = 15_000, 24, 500, 8, 4
-#: The prior's confidence and margin; bins of scores; parts of one in which sums are counted.
-DELTA, MARGIN, BINS, UNIT = 0.1, 0.01, 2000, 1 << 20
+#: About the most trusted positives, and the most unlabelled documents of the fit's start; steps of that and of the
+#: prior's networks; passes over all documents.
+MOST, HIDDEN, STEPS, APART_STEPS, PASSES, SEED = 15_000, 24, 500, 80, 8, 4
+#: The prior's confidence and margin; bins of scores; parts of one in which sums are counted; weight decay.
+DELTA, MARGIN, BINS, UNIT, RIDGE = 0.1, 0.01, 2000, 1 << 20, 1e-3
 
 _CLASS = np.full(256, 7, np.int8)  # other ASCII signs
 _CLASS[128:] = 0
@@ -108,7 +109,7 @@ class Model:
         self.steps += 1
         t = self.steps
         for i, g in enumerate(grads):
-            g = g + 1e-5 * self.p[i] if i in (0, 2) else g
+            g = g + RIDGE * self.p[i] if i in (0, 2) else g
             self.m[i] = 0.9 * self.m[i] + 0.1 * g
             self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
             self.p[i] = self.p[i] - rate * (self.m[i] / (1 - 0.9**t)) / (np.sqrt(self.v[i] / (1 - 0.999**t)) + 1e-9)
@@ -197,18 +198,29 @@ def train(stats: DataFrame, labels: DataFrame, most: int = MOST, passes: int = P
     n_good, total = known.count(), stats.count()
     share = lambda n: int(min(1.0, most / max(n, 1)) * (1 << 20))
     good = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share(n_good)))  # about ``most`` ids
-    take = lambda df: np.array([np.frombuffer(r.s, "<f8") for r in df.collect()]).reshape(-1, N_FEATURES)  # noqa: E731  at most about ``most`` rows of 26 numbers
-    positive = take(stats.join(good, F.col("key") == F.col("doc_id")).groupBy("key").agg(F.min("statistics").alias("s")))
-    unlabelled = take(stats.where(F.rand(SEED) < share(total) / (1 << 20)).select(F.col("statistics").alias("s")))
-    if len(positive) < 2 or not len(unlabelled):
+    half = F.pmod(F.xxhash64("statistics"), F.lit(2))
+
+    def take(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """About ``most`` rows of 26 numbers at most, in an order of their own, and which half each is of."""
+        rows = sorted((r.statistics, r.half) for r in df.select("statistics", half.alias("half")).collect())
+        return np.array([np.frombuffer(x, "<f8") for x, _ in rows]).reshape(-1, N_FEATURES), np.array([h for _, h in rows], int)
+
+    trusted = stats.join(good, F.col("key") == F.col("doc_id")).groupBy("key").agg(F.min("statistics").alias("statistics"))
+    positive, p_half = take(trusted)
+    unlabelled, u_half = take(stats.where(F.rand(SEED) < share(total) / (1 << 20)))
+    if not len(positive) or not len(unlabelled):
         return None
-    positive, unlabelled = (a[np.lexsort(a.T)] for a in (positive, unlabelled))  # whatever order tasks ended in
     n, x, xx = np.split(_sums(stats, lambda a: np.concatenate([[float(len(a))], a.sum(0), (a * a).sum(0)])), [1, 1 + N_FEATURES])
     mean = x / n
     scale = np.sqrt(np.maximum(xx / n - mean**2, 0)) + 1e-6
-    apart = fit(positive[::2], unlabelled, 0.5, STEPS // 2, mean, scale)
-    spread = lambda a: np.histogram(sigmoid(apart.forward(apart.standard(a))[1]), BINS, (0, 1))[0].astype(float)
-    prior = best_bin(spread(positive[1::2]), _sums(stats, spread))
+    prior = 0.5
+    if len(set(p_half)) == 2 and len(set(u_half)) == 2:
+        spreads = []
+        for h in (0, 1):  # each half is scored by what the other taught
+            apart = fit(positive[p_half != h], unlabelled[u_half != h], 0.5, APART_STEPS, mean, scale)
+            spread = lambda a, m=apart: np.histogram(sigmoid(m.forward(m.standard(a))[1]), BINS, (0, 1))[0].astype(float)
+            spreads.append((spread(positive[p_half == h]), _sums(stats.where(half == h), spread)))
+        prior = best_bin(spreads[0][0] + spreads[1][0], spreads[0][1] + spreads[1][1])
     model = fit(positive, unlabelled, prior, STEPS, mean, scale)
     model.prior = prior
     zp, shapes = model.standard(positive), [a.shape for a in model.p]

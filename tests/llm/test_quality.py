@@ -24,9 +24,9 @@ def test_prior_of_two_clouds():
     for share in (0.2, 0.5, 0.8):
         a, b = rng.normal(1.5, 1, (6000, 5)), rng.normal(-1.5, 1, (6000, 5))
         unlabelled = np.concatenate([a[2000 : 2000 + int(4000 * share)], b[: int(4000 * (1 - share))]])
-        m = fit(a[:1000], unlabelled, 0.5, steps=200)
+        m = fit(a[:1000], unlabelled[::2], 0.5, steps=80)
         spread = lambda x: np.histogram(m.scores(x), BINS, (0, 1))[0].astype(float)
-        assert abs(best_bin(spread(a[1000:2000]), spread(unlabelled)) - share) < 0.07
+        assert abs(best_bin(spread(a[1000:2000]), spread(unlabelled[1::2])) - share) < 0.07  # rows that it hasn't learnt from
 
 
 def test_features():
