@@ -2,17 +2,51 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidra.streaming.streams import shared_folder
+
 #: The ranking's constants.
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
 def terms(text: Column) -> Column:
     """``[A-Za-z0-9_]+`` runs, lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), 0), F.lower)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit("[a-z0-9_]+"), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Postings:
+    """Of the terms that the queries ask for; ``asked``: (query_id, term, qtf), ``tf``: (term, doc_id, dl, tf)."""
+
+    asked: DataFrame
+    tf: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
+
+def postings(docs: DataFrame, queries: DataFrame) -> Postings:
+    """(doc_id, text), (query_id, text): the corpus is read and cut into words once, for all rankings that follow.
+
+    The written table holds the asked terms' counts and, under a null term, a row for each document with its length.
+    """
+    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    known = asked.select("term").distinct().withColumn("known", F.lit(True))
+    words = F.coalesce(terms(F.col("text")), F.array().cast("array<string>"))
+    base = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))
+    rows = base.join(known, "term", "left").where("term is null or known").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    spark = docs.sparkSession
+    at = shared_folder(spark, "postings")
+    rows.write.parquet(at)
+    kept = spark.read.schema(rows.schema).parquet(at)
+    tf = kept.where("term is not null")
+    stats = kept.where("term is null").agg(F.sum("tf").alias("n"), F.greatest(F.sum(F.col("dl") * F.col("tf")) / F.sum("tf"), F.lit(1.0)).alias("avgdl"))
+    return Postings(asked, tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
 
 
 def top(df: DataFrame, k: int, query: str, *order: Column) -> DataFrame:
@@ -20,53 +54,42 @@ def top(df: DataFrame, k: int, query: str, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(doc_id, text), (query_id, text) to query_id, doc_id, score, rank; ties by doc_id as a string.
+def bm25(p: Postings, k: int = 10) -> DataFrame:
+    """query_id, doc_id, score, rank; ties by doc_id as a string.
 
-    Postings are cut to the queries' terms before they are counted or moved; document lengths come from
-    the same pass, so the corpus is read once and only matching postings are shuffled.
+    Frequencies and queries are joined to each other first: that side has a row for each asked term of a query, which
+    Spark broadcasts while its own size check allows it, so a hot term's postings stay where they are.
     """
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    base = docs.select("doc_id", terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    post = base.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = post.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row of statistics
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * part).alias("score"))
+    asked = p.asked.join(p.df, "term").crossJoin(F.broadcast(p.stats))  # one row of statistics
+    scored = p.tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * part).alias("score"))
     return top(scored.withColumn("score", F.round("score", 6)), k, "query_id", F.desc("score"), F.col("doc_id").cast("string"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(id, v) against the stated queries (query_id, q) by cosine. The queries are the broadcast side only while Spark's size check allows it."""
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    unit = lambda c: F.transform(c, lambda x: x / norm(c))
-    left = vectors.select("id", unit(F.col("v").cast("array<double>")).alias("v"))
-    right = queries.select("query_id", unit(F.col("q").cast("array<double>")).alias("q"))
+    left = vectors.select("id", F.col("v").cast("array<double>").alias("v")).withColumn("vn", norm(F.col("v")))
+    right = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = left.join(right, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot, 6).alias("score"))
+    pairs = left.join(right, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot / (F.col("vn") * F.col("qn")), 6).alias("score"))
     return top(pairs, k, "query_id", F.desc("score"), F.col("id"))
 
 
-def fused(first: DataFrame, second: DataFrame, weights: tuple[float, float], k: int = 10) -> DataFrame:
-    """Weighted reciprocal rank fusion of two rankings (query_id, doc_id, score, rank)."""
+def fused(first: DataFrame, second: DataFrame, weights: tuple[float, float], k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
+    """Weighted reciprocal rank fusion of two rankings (query_id, doc_id, score, rank), with both ranks."""
     a = first.select("query_id", "doc_id", F.col("score").alias("s1"), F.col("rank").alias("r1"))
     b = second.select("query_id", "doc_id", F.col("score").alias("s2"), F.col("rank").alias("r2"))
     both = a.join(b, ["query_id", "doc_id"], "full_outer")
-    part = lambda w, r: F.coalesce(F.lit(w) / (RRF_K + F.col(r)), F.lit(0.0))
-    out = both.select("query_id", "doc_id", F.round(part(weights[0], "r1") + part(weights[1], "r2"), 9).alias("fusion"), F.greatest("s1", "s2").alias("best"))
+    part = lambda w, r: F.coalesce(F.lit(w) / (rrf_k + F.col(r)), F.lit(0.0))
+    out = both.select("query_id", "doc_id", F.round(part(weights[0], "r1") + part(weights[1], "r2"), 9).alias("fusion"), F.greatest("s1", "s2").alias("best"), "r1", "r2")
     return top(out, k, "query_id", F.desc("fusion"), F.desc("best"), F.col("doc_id").cast("string"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def tfidf(p: Postings, k: int = 10) -> DataFrame:
     """Sparse dot product of tf-idf weights, as an equi-join on terms."""
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    post = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = post.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+    asked = p.asked.join(p.df, "term").crossJoin(F.broadcast(p.stats))  # one row of statistics
     w = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    scored = tf.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("qtf") * w * w), 6).alias("score"))
+    scored = p.tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("qtf") * w * w), 6).alias("score"))
     return top(scored, k, "query_id", F.desc("score"), F.col("doc_id").cast("string"))

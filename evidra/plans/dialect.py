@@ -32,9 +32,8 @@ class Spark:
     even = staticmethod(lambda x: f"bround({x})")
     number = staticmethod(lambda x: f"try_cast({x} as double)")
     at = staticmethod(lambda a, i: f"try_element_at({a}, {i})")
-    #: Padded numbers keep all their digits; the oracle's lpad cuts longer ones, so its rows are those that ``fits`` lets by.
+    #: Padded numbers keep all their digits.
     padded = staticmethod(lambda x, n: f"CASE WHEN {x} IS NOT NULL THEN format_string('%0{n}d', {x}) END")
-    fits = staticmethod(lambda x, n: "")
 
     @classmethod
     def rr(cls, x: str, p: str, r: str) -> str:
@@ -74,8 +73,7 @@ class Duck(Spark):
     prop = staticmethod(lambda x, k: f"({x}::JSON->>'$.{k}')")
     even = staticmethod(lambda x: f"round_even({x}, 0)")
     at = staticmethod(lambda a, i: f"list_extract({a}, {i})")
-    padded = staticmethod(lambda x, n: f"lpad(cast({x} as varchar(9)), {n}, '0')")
-    fits = staticmethod(lambda x, n: f" WHERE {x} < {10**n}")
+    padded = staticmethod(lambda x, n: f"CASE WHEN {x} IS NOT NULL THEN printf('%0{n}d', cast({x} as bigint)) END")
     number = staticmethod(lambda x: f"try_cast({x} as double)")
 
     @classmethod

@@ -42,11 +42,11 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bootstrap_ci(_scores(spark, sf_dir), resamples=10_000)
+    return B.bootstrap_ci(_scores(spark, sf_dir))
 
 
 def bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bootstrap_ci(B.paired(_scores(spark, sf_dir)), resamples=10_000)
+    return B.bootstrap_ci(B.paired(_scores(spark, sf_dir)))
 
 
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

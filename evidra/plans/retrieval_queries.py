@@ -18,12 +18,16 @@ def _asked(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _postings(spark, sf_dir):
+    return R.postings(_t(spark, sf_dir, "documents"), _asked(spark, sf_dir))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_t(spark, sf_dir, "documents"), _asked(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return R.bm25(_postings(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tfidf(_t(spark, sf_dir, "documents"), _asked(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return R.tfidf(_postings(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +36,22 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
+def _dense_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest documents of every benchmark item: the vector of a document or an item is that of its id."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    docs = e.join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    asked = e.join(_asked(spark, sf_dir).select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return R.dense(docs, asked, 20).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _t(spark, sf_dir, "documents"), _asked(spark, sf_dir)
-    return R.fused(R.bm25(docs, asked, 20), R.tfidf(docs, asked, 20), (1.0, 2.0)).select("query_id", "doc_id", "fusion", "rank")
+    """Dense and BM25, equal weights."""
+    return R.fused(_dense_documents(spark, sf_dir), R.bm25(_postings(spark, sf_dir), 20), (1.0, 1.0)).select("query_id", "doc_id", "fusion", "rank", F.col("r1").alias("dense_rank"), F.col("r2").alias("bm25_rank"))
+
+
+def hybrid_sparse_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and sparse, the sparse side weighted twice."""
+    return R.fused(_dense_documents(spark, sf_dir), R.tfidf(_postings(spark, sf_dir), 20), (1.0, 2.0)).select("query_id", "doc_id", "fusion", "rank", F.col("r1").alias("dense_rank"), F.col("r2").alias("sparse_rank"))
 
 
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +69,16 @@ def _ranked(t: str) -> str:
     return f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::varchar) AS rank FROM {t}"
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, sparse_topk, dense_topk, hybrid_rrf, l2_normalize)}
+_DENSE = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM e d JOIN e q ON q.vec_id <> d.vec_id AND q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 20)"
+_FUSED = "SELECT query_id, doc_id, fusion, rank, dense_rank, {name} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, best DESC, doc_id::varchar) AS rank FROM (SELECT query_id, doc_id, round(coalesce({w1}::double / (60 + a.rank), 0) + coalesce({w2}::double / (60 + b.rank), 0), 9) AS fusion, greatest(a.score, b.score) AS best, a.rank AS dense_rank, b.rank AS {name} FROM a FULL JOIN b USING (query_id, doc_id))) WHERE rank <= 10"
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk, sparse_topk, dense_topk, hybrid_rrf, hybrid_sparse_rrf, l2_normalize)}
 SQL = {
     "bm25_topk": f"WITH {_BM} SELECT query_id, doc_id, score, rank FROM ({_ranked('bm')}) WHERE rank <= 10",
     "sparse_topk": f"WITH {_POST}, {_TI} SELECT query_id, doc_id, score, rank FROM ({_ranked('ti')}) WHERE rank <= 10",
     "dense_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)) WHERE rank <= 10",
-    "hybrid_rrf": f"WITH {_BM}, {_TI}, a AS (SELECT * FROM ({_ranked('bm')}) WHERE rank <= 20), b AS (SELECT * FROM ({_ranked('ti')}) WHERE rank <= 20) SELECT query_id, doc_id, fusion, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, best DESC, doc_id::varchar) AS rank FROM (SELECT query_id, doc_id, round(coalesce(1.0::double / (60 + a.rank), 0) + coalesce(2.0::double / (60 + b.rank), 0), 9) AS fusion, greatest(a.score, b.score) AS best FROM a FULL JOIN b USING (query_id, doc_id))) WHERE rank <= 10",
+    "hybrid_rrf": f"WITH {_BM}, {_DENSE}, b AS (SELECT * FROM ({_ranked('bm')}) WHERE rank <= 20) {_FUSED.format(w1='1.0', w2='1.0', name='bm25_rank')}",
+    "hybrid_sparse_rrf": f"WITH {_POST}, {_TI}, {_DENSE}, b AS (SELECT * FROM ({_ranked('ti')}) WHERE rank <= 20) {_FUSED.format(w1='1.0', w2='2.0', name='sparse_rank')}",
     "l2_normalize": "SELECT vec_id, round(n, 6) AS norm, round(list_sum(list_transform(v, lambda x: x / n)), 6) AS unit_sum FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))",
 }

@@ -174,11 +174,6 @@ def version_match(d):
     return f"SELECT doc_id, {d.join(d.sort(d.both(seen, known)), '|')} AS versions FROM documents"
 
 
-@plan
-def versions(d):
-    return f"SELECT doc_id, v AS version FROM (SELECT doc_id, v FROM documents {d.unnest(d.all('text', '[0-9]+[.][0-9]+(?:[.][0-9]+)*'), 'u', 'v')}) x GROUP BY doc_id, v"
-
-
 @plan
 def module_match(d):
     return "SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON lower(p.p_brand) = concat('brand#', cast(s.s_suppkey % 55 as varchar(9)))"
@@ -259,7 +254,7 @@ def subgroup_grouping_sets(d):
 
 @plan
 def source_distribution(d):
-    return "SELECT turn, role, n, cast(sum(n) OVER (PARTITION BY turn) as bigint) AS total, round(n / cast(sum(n) OVER (PARTITION BY turn) as double), 6) AS proportion FROM (SELECT turn, coalesce(nullif(role, ''), 'unknown') AS role, count(*) AS n FROM conversations WHERE turn > 0 GROUP BY turn, coalesce(nullif(role, ''), 'unknown')) x"
+    return "SELECT turn, role, n, cast(sum(n) OVER (PARTITION BY turn) as bigint) AS total, round(n / cast(sum(n) OVER (PARTITION BY turn) as double), 6) AS proportion FROM (SELECT turn, coalesce(nullif(role, ''), 'unknown') AS role, count(*) AS n FROM conversations GROUP BY turn, coalesce(nullif(role, ''), 'unknown')) x"
 
 
 @plan
@@ -360,13 +355,6 @@ def alias_index(d):
     return f"SELECT lower(p_name) AS alias, {d.join(d.items('cast(p_partkey as varchar(19))', 'p_partkey'), '|')} AS ids FROM part GROUP BY lower(p_name)"
 
 
-@plan
-def privacy_flags(d):
-    f = {"email": "[a-z0-9._]+@[a-z0-9.]+[.][a-z]+", "ip": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "phone": "[+][0-9][0-9 -]{7,}"}
-    parts = ", ".join(f"CASE WHEN {d.has('text', p)} THEN '{k}' END" for k, p in f.items())
-    return f"SELECT doc_id, concat_ws('|', {parts}) AS flags FROM documents"
-
-
 # --- windows, order and sets
 
 
@@ -407,7 +395,7 @@ def pii_aliases(d):
 
 @plan
 def message_ids(d):
-    return f"SELECT conv_id, turn, concat(cast(conv_id as varchar(19)), '::msg::', {d.padded('turn', 4)}) AS message_id FROM conversations{d.fits('turn', 4)}"
+    return f"SELECT conv_id, turn, concat(cast(conv_id as varchar(19)), '::msg::', {d.padded('turn', 4)}) AS message_id FROM conversations"
 
 
 @plan
@@ -495,12 +483,6 @@ def rrf_rerank(d):
     return "SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, best DESC, doc_id) AS place FROM (SELECT lang AS q, doc_id, n_chars AS best, round(1.0 / (60 + a) + 2.0 / (60 + b), 9) AS rrf FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents) x) y".replace("1.0 /", "cast(1 as double) /").replace("2.0 /", "cast(2 as double) /")
 
 
-@plan
-def validity_rerank(d):
-    feature = "CASE WHEN source IN ('src0', 'src1') THEN 1.0 WHEN lang = 'en' THEN 0.5 ELSE 0.0 END".replace("1.0", "cast(1 as double)").replace("0.5", "cast(0.5 as double)").replace("0.0", "cast(0 as double)")
-    return f"SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY round(base + 0.3 * authority + 0.2 * fresh, 9) DESC, doc_id DESC) AS place FROM (SELECT lang, doc_id, CASE WHEN hi = lo THEN cast(1 as double) ELSE (n_chars - lo) / cast(hi - lo as double) END AS base, {feature} AS authority, CASE WHEN n = 1 THEN cast(1 as double) ELSE 1 - (i - 1) / cast(n - 1 as double) END AS fresh FROM (SELECT *, min(n_chars) OVER (PARTITION BY lang) AS lo, max(n_chars) OVER (PARTITION BY lang) AS hi, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) x) y) z WHERE place <= 10"
-
-
 @plan
 def stratified_split(d):
     return "SELECT doc_id, lang, CASE WHEN n > 1 AND i <= ceil(n * cast(0.3 as double)) THEN 'test' ELSE 'dev' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(cast(doc_id as varchar(19))), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) x"
@@ -540,13 +522,6 @@ def fingerprint(d):
 # --- text functions
 
 
-@plan
-def normalise_md(d):
-    """Line ends to LF, no blanks before LF, at most one empty line, trimmed; LF stands as ¶ in between."""
-    x = d.rr(d.rr("text", "\\r\\n?|\\n", "¶"), "[ \\t]+¶", "¶")
-    return f"SELECT doc_id, trim({d.rr(x, '¶{3,}', '¶¶')}) AS text FROM documents"
-
-
 @plan
 def normalize_key(d):
     return f"SELECT doc_id, trim({d.rr('lower(source)', SLUG, ' ')}) AS k, trim({d.rr(d.rr('text', SLUG, ' '), ' +', ' ')}) AS t FROM documents"
@@ -567,33 +542,11 @@ def url_slug(d):
     return f"SELECT page_id, {d.first(d.rr('url', '[?#].*$', ''), '([^/]*)/?$', 1)} AS slug FROM pages"
 
 
-@plan
-def lifecycle_status(d):
-    t = "lower(text)"
-    return f"SELECT doc_id, CASE WHEN {d.has(t, 'end of life|deprecated')} THEN 'eol' WHEN {d.has(t, 'legacy')} THEN 'legacy' WHEN {d.has(t, 'maintenance')} THEN 'maintenance' WHEN {d.has(t, 'current|license')} THEN 'current' ELSE 'unknown' END AS status FROM documents"
-
-
-@plan
-def partition_names(d):
-    return f"SELECT doc_id, p AS partition_name FROM (SELECT doc_id, p FROM documents {d.unnest(d.all('text', '([a-z]+)-(?:long|short|gpu)', 1), 'u', 'p')}) x WHERE p NOT IN ('the', 'a')"
-
-
-@plan
-def module_tokens(d):
-    return f"SELECT doc_id, m AS module FROM (SELECT doc_id, m FROM documents {d.unnest(d.all('text', 'module load ([A-Za-z0-9/._-]+)', 1), 'u', 'm')}) x"
-
-
 @plan
 def page_class(d):
     return f"SELECT page_id, CASE WHEN {d.has('url', '[?]page=')} THEN 'listing' WHEN {d.has('url', '^https://')} THEN 'secure' ELSE 'plain' END AS class, {d.first('url', '/([a-z]{2})/', 1)} AS lang FROM pages"
 
 
-@plan
-def scope_families(d):
-    rules = {"gpu": "gpu|cuda", "storage": "disk|storage|file", "license": "licen[sc]e", "mail": "@", "numbers": "[0-9]{4,}"}
-    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS family FROM documents WHERE {d.has('lower(text)', p)}" for k, p in rules.items())
-
-
 @plan
 def query_constraints(d):
     return f"SELECT item_id, {d.first('text', '[0-9]+[.][0-9]+', 0)} AS version, CASE WHEN {d.has('lower(text)', 'version|[0-9]+[.][0-9]+')} THEN 'software_version' WHEN {d.has('lower(text)', '^the ')} THEN 'local_operational' ELSE 'general_how_to' END AS query_type FROM benchmark"

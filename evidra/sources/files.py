@@ -71,7 +71,7 @@ def parsed_feedback(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
 
 
 def complete_runs(files: DataFrame, path: str = "path") -> DataFrame:
-    """(folder, repeat_index) of each ``run_*`` folder that holds all of ``RUN_FILES``; the index is its name's last digits."""
+    """(folder, repeat_index) of each ``run_*`` folder that holds all of ``RUN_FILES``; the index is its name's last digits, 0 without any."""
     parts = files.select(F.regexp_extract(path, r"^(.*/(run_[^/]*))/([^/]+)$", 1).alias("folder"), F.regexp_extract(path, r"^.*/(run_[^/]*)/([^/]+)$", 2).alias("file"))
     whole = parts.where(F.col("folder") != "").where(F.col("file").isin(RUN_FILES)).groupBy("folder").agg(F.count_distinct("file").alias("n")).where(F.col("n") == len(RUN_FILES))
-    return whole.select("folder", F.regexp_extract("folder", r"(\d+)$", 1).try_cast("int").alias("repeat_index"))
+    return whole.select("folder", F.coalesce(F.regexp_extract("folder", r"(\d+)$", 1).try_cast("int"), F.lit(0)).alias("repeat_index"))

@@ -1,4 +1,4 @@
-"""Numbered ids past their padding, which the oracle's SQL cuts."""
+"""Numbered ids past their padding."""
 
 from evidra.plans.registry import QUERIES
 
