@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import rules as X
+from evidra.functions import tickets as T
 from evidra.functions import values as V
+from evidra.functions.filters import matches
+from evidra.operators import blind as B
 from evidra.operators import reranking as K
 
 TEXTS = [
@@ -133,6 +136,46 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", V.json_object(noisy).alias("json"))
 
 
+def filter_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = lambda k, o, v: {"key": k, "op": o, "value": v}
+    tree = {"or": [{"and": [leaf("lang", "==", "en"), leaf("n_chars", ">=", 300)]}, {"and": [leaf("lang", "in", ["de", "fr"]), {"not": [leaf("source", "==", "src1"), leaf("source", "==", "src2")]}]}]}
+    return _t(spark, sf_dir, "documents").where(matches(tree)).select("doc_id")
+
+
+def filter_leaf_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").withColumn("tags", F.when(F.col("n_chars") % 7 != 0, F.array("lang", "source")))
+    leaves = {"eq": ("lang", "==", "en"), "ne": ("lang", "!=", "en"), "gt": ("n_chars", ">", 500), "ge": ("n_chars", ">=", 500), "lt": ("n_chars", "<", 500), "le": ("n_chars", "<=", 500), "within": ("lang", "in", ["de", "es"]), "nin": ("lang", "nin", ["de", "es"]), "any": ("tags", "any", ["en", "src3"]), "all": ("tags", "all", ["en", "src3"]), "unknown": ("lang", "~", "en")}
+    counts = rows.agg(*[F.count_if(matches(dict(zip(("key", "op", "value"), x)))).alias(k) for k, x in leaves.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("op"), F.col(k).alias("n")) for k in leaves])))
+
+
+def message_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as comments: even conversations were created by their reporter."""
+    c, odd = F.col("conv_id"), F.col("conv_id") % 2 == 1
+    email = F.when(F.col("role") == "assistant", F.lit("desk@x.org")).when(F.col("turn") % 5 == 0, F.lit("lead@x.org")).otherwise(F.concat(F.lit("user"), c, F.lit("@x.org")))
+    name = F.when(F.col("role") == "system", T.AUTOMATION)
+    user = F.concat(F.lit("user"), c, F.lit("@x.org"))
+    role = T.comment_role(name, email, F.lit("desk@x.org"), F.when(odd, F.lit("other@x.org")).otherwise(user), F.when(c % 3 == 0, F.lit("lead@x.org")), user)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("message_role"))
+
+
+def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a tree of a heading, a paragraph, a list and a quote."""
+    leaf = lambda c: F.concat(F.lit('{"type":"text",'), F.substring(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("text"))), 2, 1 << 30))
+    node = lambda kind, *inner: F.concat(F.lit(f'{{"type":"{kind}","content":['), *[x for i in inner for x in (F.lit(","), i)][1:], F.lit("]}"))
+    item = lambda c: node("listItem", node("paragraph", leaf(c)))
+    role, text = F.col("role"), F.col("text")
+    tree = node("doc", node("heading", leaf(role)), node("paragraph", leaf(text)), node("bulletList", item(F.lit("one")), item(F.lit("two"))), node("blockquote", node("paragraph", leaf(role))))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.rich_text(tree).alias("text"))
+
+
+def blind_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three conditions' answers to every benchmark item under labels."""
+    names = ["dense", "bm25", "hybrid"]
+    item = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(*map(F.lit, names))).alias("condition"))
+    return B.blind_sheet(item.withColumn("response", F.concat("condition", F.lit(" on "), "query_id")), names, 7)
+
+
 WEIGHTS = {"authority": 0.3, "scope": 0.2, "software": 0.25, "scope_family": 0.15, "version": 0.1, "status": 0.12, "freshness": 0.05}
 AUTHORITY = {"local_official": 1.0, "external_official": 0.6, "ticket_memory": 0.2}
 STATUS = {"current": 1.0, "maintenance": 0.5, "legacy": -0.5, "eol": -1.0}
@@ -161,7 +204,7 @@ def validity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", "gate", F.round("final", 6).alias("final"), "place")
 
 
-QUERIES = {f.__name__: f for f in (lifecycle_status, partition_names, module_tokens, versions, scope_families, privacy_flags, normalise_md, normalise_md_b, pii_detect, pii_mask, slugify, error_classes, parse_ts, time_to_resolution, freshness_hint, numeric_coerce, entity_id, map_merge, json_extract, validity_rerank)}
+QUERIES = {f.__name__: f for f in (lifecycle_status, partition_names, module_tokens, versions, scope_families, privacy_flags, normalise_md, normalise_md_b, pii_detect, pii_mask, slugify, error_classes, parse_ts, time_to_resolution, freshness_hint, numeric_coerce, entity_id, map_merge, json_extract, filter_tree, filter_leaf_ops, message_role, rich_text, blind_pivot, validity_rerank)}
 _D = f"d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_sql_list(TEXTS, 'doc_id, text')})"
 _STRIP = "regexp_replace(regexp_replace(x, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '{0}', '', 'g')"
 _FAMILY = {
@@ -186,6 +229,11 @@ SQL = {
     "entity_id": "SELECT n_nationkey, substr(sha1('local|nation|' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g'))), 1, 16) AS entity_id FROM nation",
     "map_merge": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a=' || p_size || ';d=1' WHEN 1 THEN 'a.b=' || p_size || ';a.c=' || p_type || ';d=1' ELSE 'a.b=' || p_brand || ';a.c=' || p_type || ';d.e=' || p_size END AS settings FROM part",
     "json_extract": "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '{}' ELSE '{\"k\": ' || event_id || '}' END AS json FROM events",
+    "filter_tree": "SELECT doc_id FROM documents WHERE (lang = 'en' AND n_chars >= 300) OR (lang IN ('de', 'fr') AND source NOT IN ('src1', 'src2'))",
+    "filter_leaf_ops": "WITH n AS (UNPIVOT (SELECT count_if(lang = 'en') AS eq, count_if(lang IS DISTINCT FROM 'en') AS ne, count_if(n_chars > 500) AS gt, count_if(n_chars >= 500) AS ge, count_if(n_chars < 500) AS lt, count_if(n_chars <= 500) AS le, count_if(lang IN ('de', 'es')) AS within, count_if(lang IS NULL OR lang NOT IN ('de', 'es')) AS nin, count_if(n_chars % 7 <> 0 AND (lang = 'en' OR source = 'src3')) AS any_, count_if(n_chars % 7 <> 0 AND lang = 'en' AND source = 'src3') AS all_, count_if(lang = 'en') AS unknown FROM documents) ON COLUMNS(*) INTO NAME op VALUE n) SELECT rtrim(op, '_') AS op, n::BIGINT AS n FROM n",
+    "message_role": "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'AUTOMATED_PSEUDOUSER' WHEN role = 'assistant' THEN 'HELPDESK_ASSIGNEE' WHEN turn % 5 = 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'HELPDESK_PRINCIPAL_INVESTIGATOR' ELSE 'OTHER' END WHEN conv_id % 2 = 0 THEN 'TICKET_CREATOR' ELSE 'REPORTER' END AS message_role FROM conversations",
+    "rich_text": "SELECT conv_id, turn, '# ' || trim(role) || chr(10) || coalesce(text, '') || chr(10) || '- one' || chr(10) || '- two' || chr(10) || '> ' || role || chr(10) AS text FROM conversations",
+    "blind_pivot": "WITH a AS (SELECT item_id AS query_id, c, row_number() OVER (PARTITION BY item_id ORDER BY md5('7|' || item_id || '|' || c)) AS n FROM benchmark, (VALUES ('dense'), ('bm25'), ('hybrid')) v(c)) SELECT query_id, max(CASE WHEN n = 1 THEN c END) || ' on ' || query_id AS \"system_A\", max(CASE WHEN n = 2 THEN c END) || ' on ' || query_id AS \"system_B\", max(CASE WHEN n = 3 THEN c END) || ' on ' || query_id AS \"system_C\" FROM a GROUP BY query_id",
     "validity_rerank": """WITH c AS (SELECT p_partkey // 20 AS query_id, p_partkey::VARCHAR AS id, p_retailprice AS best, p_size AS s, lower(p_brand) AS brand, lower(p_type) AS kind,
   1.0::DOUBLE / (60 + p_partkey % 20 + 1) + CASE WHEN p_size % 3 = 0 THEN 0.5::DOUBLE / (60 + p_size) ELSE 0 END AS rrf FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best DESC, id DESC) AS base_rank, min(rrf) OVER (PARTITION BY query_id) AS lo, max(rrf) OVER (PARTITION BY query_id) AS hi,

@@ -58,17 +58,6 @@ def events_props_json(d):
     return f"SELECT event_id, cast({d.prop('props', 'k')} as bigint) AS k FROM events WHERE props IS NOT NULL"
 
 
-@plan
-def filter_tree(d):
-    return "SELECT doc_id FROM documents WHERE (lang = 'en' AND n_chars >= 300) OR (lang IN ('de', 'fr') AND NOT (source = 'src1' OR source = 'src2'))"
-
-
-@plan
-def filter_leaf_ops(d):
-    ops = {"eq": "lang IS NOT DISTINCT FROM 'en'", "ne": "lang IS DISTINCT FROM 'en'", "gt": "n_chars > 500", "ge": "n_chars >= 500", "lt": "n_chars < 500", "le": "n_chars <= 500", "within": "lang IN ('de', 'es')", "nin": "lang NOT IN ('de', 'es')"}
-    return " UNION ALL ".join(f"SELECT '{k}' AS op, count(*) AS n FROM documents WHERE {v}" for k, v in ops.items())
-
-
 @plan
 def filter_exclude(d):
     return f"SELECT doc_id FROM documents WHERE upper(source) NOT IN ('SRC0', 'SRC5') AND NOT (text LIKE '%License%' OR text LIKE '%license%')"
@@ -552,11 +541,6 @@ def query_constraints(d):
     return f"SELECT item_id, {d.first('text', '[0-9]+[.][0-9]+', 0)} AS version, CASE WHEN {d.has('lower(text)', 'version|[0-9]+[.][0-9]+')} THEN 'software_version' WHEN {d.has('lower(text)', '^the ')} THEN 'local_operational' ELSE 'general_how_to' END AS query_type FROM benchmark"
 
 
-@plan
-def message_role(d):
-    return "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'automation' WHEN role = 'assistant' THEN 'assignee' WHEN turn = 0 OR turn = 1 THEN 'creator' WHEN role = 'user' THEN 'reporter' ELSE 'other' END AS message_role FROM conversations"
-
-
 @plan
 def transcript(d):
     m = f"concat('<MESSAGE id=', {d.padded('turn', 4)}, ' role=', role, '>', text, '</MESSAGE>')"
