@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evidra.sources.files import parsed_feedback
@@ -50,6 +51,24 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "complete") -> DataFr
     return spark.createDataFrame([], stream.schema) if got is None else got
 
 
+def run_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs an aggregation over all there is in ``update`` mode: the newest row of each key.
+
+    Each batch writes the groups that it changed, under its number, so a batch that runs again replaces its own; groups
+    that the watermark has passed leave the state, and rows that come later still are dropped.
+    """
+    spark = stream.sparkSession
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/__batch={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(schema).parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__row")).select(*keys, *[F.col(f"__row.`{c}`") for c in rest])
+
+
 def ingest(stream: DataFrame, stores: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]], key: str, version: str, checkpoint: str) -> StreamingQuery:
     """Each batch, read once, into every store: name to (folder, how its rows are made). A batch that runs again changes nothing."""
 

@@ -33,3 +33,13 @@ def test_ingest_is_idempotent(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     (tmp_path / "log").mkdir()
     assert not S.run_to_end(S.feedback_stream(spark, str(tmp_path / "log")), f"file://{tmp_path}/s").collect()
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    run = lambda: {(r.window_start[:10], r.event_type): (r.n_events, r.sum_value) for r in S.run_updates(S.event_windows(spark.readStream.schema("ts string, event_type string, value double").json(str(folder))), ["window_start", "event_type"], f"file://{tmp_path}/s").collect()}
+    (folder / "1.json").write_text('{"ts": "2024-01-01 10:00:00", "event_type": "a", "value": 1}\n{"ts": "2024-01-10 10:00:00", "event_type": "a", "value": 2}\n')
+    assert run() == {("2024-01-01", "a"): (1, 1.0), ("2024-01-10", "a"): (1, 2.0)}
+    (folder / "2.json").write_text('{"ts": "2024-01-01 11:00:00", "event_type": "a", "value": 5}\n{"ts": "2024-01-10 09:00:00", "event_type": "a", "value": 3}\n{"ts": "2024-01-10 09:00:00", "event_type": "b", "value": 4}\n')
+    assert run() == {("2024-01-01", "a"): (1, 1.0), ("2024-01-10", "a"): (2, 5.0), ("2024-01-10", "b"): (1, 4.0)}
