@@ -11,8 +11,8 @@ Three things keep it whole and small. Shingles in very many documents are left o
 signatures are sent (two sets that agree in one agree in one of these). Sets with too few nonempty parts
 for the guarantee sign the whole domain too and, if that is still too little, their empty parts.
 
-Sets that share a signature become candidates: all pairs in a group of a few, else stars around three
-centres. A bound from 256 counts per set prunes pairs, and the rest are verified on their whole texts.
+Sets that share a signature become candidates: all pairs in a group of a few, else a star around one
+centre. A bound from 256 counts per set prunes pairs, and the rest are verified on their whole texts.
 Larger groups whose members then lie in several components are searched again across components, in blocks
 of whole sets, and only links that join two components are given out: no link is lost, and rows grow with
 the sets, not with their pairs. Equal sets are one class from the start.
@@ -38,7 +38,7 @@ from evidra.llm.components import components
 from evidra.llm.shingles import mixed, shingle_set
 
 U = np.uint64
-CELLS, ALL_PAIRS, CENTRES = 256, 8, 3
+CELLS, ALL_PAIRS, CENTRES = 256, 8, 1
 #: Sets, and shingles of all of them, that a task of the search across components holds on either side, on average.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Shingles of all documents for each bucket of signatures; a set sends about a third as many signatures.
