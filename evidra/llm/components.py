@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidra.llm.common import written
 
 
-def _stars(links: DataFrame) -> DataFrame:
+def stars(links: DataFrame) -> DataFrame:
     """Links of one task as stars around their smallest ids; a task's ids bound its memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def _stars(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) to (id, component) of every id that has a link; larger and smaller stars alternate until nothing moves."""
-    edges = written(_stars(links.select(F.col("a").cast("long"), F.col("b").cast("long"))).distinct(), "component-links")  # u > v
+    edges = written(stars(links.select(F.col("a").cast("long"), F.col("b").cast("long"))).distinct(), "component-links")  # u > v
 
     def low(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
@@ -51,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large.where("u != v").distinct(), "component-large")
         mins = low(large)
         small = large.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v")))
-        new = written(_stars(small.where("u != v").select("u", "v")).distinct(), "component-small")
+        new = written(stars(small.where("u != v").select("u", "v")).distinct(), "component-small")
         moved = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
         edges = new
         if not moved:

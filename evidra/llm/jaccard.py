@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm.common import partitions, split_by_ids, table, written
-from evidra.llm.components import components
+from evidra.llm.components import components, stars
 from evidra.llm.shingles import mixed, shingle_set
 
 U = np.uint64
@@ -313,7 +313,9 @@ def _sets(src: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFrame) -> DataFrame:
-    """Links (a, b) between components that meet in a group: at most one fewer a task than it has components.
+    """Links (a, b) between the names of components that meet in a group, one for two components that link.
+
+    A task gives at most one fewer than it has components, and what tasks say twice is left out as far as it meets.
 
     A group that meets one component only is done. Each other group goes to its main component, the one with
     most members there, and a component's groups are one search: a set is moved to it once, however many of the
@@ -349,10 +351,10 @@ def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFra
 
         sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
         n = np.array([len(x) for x in sets])
-        order = np.lexsort((pdf["rep"].to_numpy(), n))  # by size, so a set's partners lie together
         cel = np.frombuffer(b"".join([cells(x) for x in sets]), np.uint8).reshape(len(sets), CELLS)
-        rep, comp_of, asking = (pdf[c].to_numpy() for c in ("rep", "component", "asks"))
-        comp_of = comp_of.copy()
+        rep, name, asking = (pdf[c].to_numpy() for c in ("rep", "component", "asks"))
+        comp_of = name.copy()
+        order = np.lexsort((rep, n))  # by size, so a set's partners lie together
         asked = order[~asking[order]]
         sizes = n[asked]
         out = []
@@ -364,11 +366,12 @@ def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFra
             y = y[ok]
             for j in y[np.argsort(apart[ok], kind="stable")].tolist():
                 if comp_of[j] != comp_of[x] and linked(len(np.intersect1d(sets[x], sets[j], assume_unique=True)), n[x], n[j]):
-                    out.append((rep[x], rep[j]))
+                    out.append((name[x], name[j]))
                     comp_of[comp_of == comp_of[j]] = comp_of[x]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return asked.unionByName(asking).groupBy("main", "block", "slice").applyInPandas(search, "a long, b long").distinct()
+    links = asked.unionByName(asking).groupBy("main", "block", "slice").applyInPandas(search, "a long, b long").distinct()
+    return stars(links).select(F.col("u").alias("a"), F.col("v").alias("b"))  # links of different tasks that say the same
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
