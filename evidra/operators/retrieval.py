@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.streaming.streams import shared_folder
+from evidra.sources.shared import shared_folder
 
 #: The ranking's constants.
 K1, B, RRF_K = 1.5, 0.75, 60

@@ -11,6 +11,7 @@ from evidra.functions import text as X
 from evidra.operators import aliases as A
 from evidra.operators import bootstrap as B
 from evidra.operators.turns import Budget, pack_turns
+from evidra.sources.shared import shared_folder
 from evidra.streaming import streams as S
 
 
@@ -50,7 +51,7 @@ def bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.run_updates(S.event_windows(S.events_stream(spark, sf_dir)), ["window_start", "event_type"], S.shared_folder(spark, "event-windows"))
+    return S.run_updates(S.event_windows(S.events_stream(spark, sf_dir)), ["window_start", "event_type"], shared_folder(spark, "event-windows"))
 
 
 QUERIES = {f.__name__: f for f in (md_sections, chunk_windows, chunk_turns, alias_scan, bootstrap_means, bootstrap_differences, stream_event_windows)}

@@ -22,11 +22,6 @@ def scan_pages(d):
     return f"SELECT page_id, url, {d.first('html', '<html lang=.([a-z]+)', 1)} AS lang, length(html) AS html_chars FROM pages"
 
 
-@plan
-def page_links(d):
-    return f"SELECT DISTINCT page_id, href FROM (SELECT page_id, href FROM pages {d.unnest(d.all('html', 'href=.([^ >]*?)[^A-Za-z0-9/.,_-]', 1), 't', 'href')}) x WHERE href <> ''"
-
-
 @plan
 def filter_date_range(d):
     return "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' AND o_orderstatus = 'F'"
@@ -72,15 +67,6 @@ def html_clean(d):
     return f"SELECT page_id, trim({x}) AS text FROM pages"
 
 
-@plan
-def url_canonical(d):
-    no_fragment = d.rr("trim(url)", "#.*$", "")
-    head = f"lower({d.first('u', '^[A-Za-z]+://[^/?]*', 0)})"
-    path = d.first("u", "^[A-Za-z]+://[^/?]*([^?]*)", 1)
-    query = d.first("u", "([?].*)$", 1)
-    return f"SELECT page_id, concat(h, CASE WHEN p IN ('', '/') THEN '/' ELSE {d.rr('p', '/+$', '')} END, q) AS canonical FROM (SELECT page_id, {head} AS h, {path} AS p, {query} AS q FROM (SELECT page_id, {no_fragment} AS u FROM pages) x) y"
-
-
 def _host(d, u="url"):
     return f"lower({d.first(u, '^[a-z]+://([^/?#]*)', 1)})"
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +16,6 @@ from evidra.sources.store import Versions, upsert
 FEEDBACK = "scenario_id string, helpful string, grounded string, failure_type string"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def feedback_counts(rows: DataFrame) -> DataFrame:
     """Batch or stream: rows, helpful and grounded ones by scenario and failure type."""
     named = rows.select(F.coalesce(F.nullif("scenario_id", F.lit("")), F.lit("ad_hoc")).alias("scenario_id"), F.coalesce(F.nullif("failure_type", F.lit("")), F.lit("none")).alias("failure_type"), "helpful", "grounded")
