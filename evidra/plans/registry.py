@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidra.plans import ingest_queries, more_queries, retrieval_queries, rule_queries
+from evidra.plans import constraint_queries, ingest_queries, more_queries, retrieval_queries, rule_queries
 from evidra.plans.dialect import Duck, Spark, ran
 from evidra.plans.statements import PLANS
 
-QUERIES: dict = {name: (lambda spark, sf_dir, f=f: ran(spark, sf_dir, f(Spark))) for name, f in PLANS.items()} | retrieval_queries.QUERIES | more_queries.QUERIES | rule_queries.QUERIES | ingest_queries.QUERIES
+QUERIES: dict = {name: (lambda spark, sf_dir, f=f: ran(spark, sf_dir, f(Spark))) for name, f in PLANS.items()} | retrieval_queries.QUERIES | more_queries.QUERIES | rule_queries.QUERIES | ingest_queries.QUERIES | constraint_queries.QUERIES
 for _name, _f in QUERIES.items():
     _f.__name__ = _name
-SQL: dict[str, str] = {name: f(Duck) for name, f in PLANS.items()} | retrieval_queries.SQL | more_queries.SQL | rule_queries.SQL | ingest_queries.SQL
+SQL: dict[str, str] = {name: f(Duck) for name, f in PLANS.items()} | retrieval_queries.SQL | more_queries.SQL | rule_queries.SQL | ingest_queries.SQL | constraint_queries.SQL

@@ -522,11 +522,6 @@ def page_class(d):
     return f"SELECT page_id, CASE WHEN {d.has('url', '[?]page=')} THEN 'listing' WHEN {d.has('url', '^https://')} THEN 'secure' ELSE 'plain' END AS class, {d.first('url', '/([a-z]{2})/', 1)} AS lang FROM pages"
 
 
-@plan
-def query_constraints(d):
-    return f"SELECT item_id, {d.first('text', '[0-9]+[.][0-9]+', 0)} AS version, CASE WHEN {d.has('lower(text)', 'version|[0-9]+[.][0-9]+')} THEN 'software_version' WHEN {d.has('lower(text)', '^the ')} THEN 'local_operational' ELSE 'general_how_to' END AS query_type FROM benchmark"
-
-
 @plan
 def transcript(d):
     m = f"concat('<MESSAGE id=', {d.padded('turn', 4)}, ' role=', role, '>', text, '</MESSAGE>')"
