@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import partitions, split_by_ids, table, written
+from evidra.llm.common import own_names, partitions, split_by_ids, table, written
 from evidra.llm.components import components, stars
 from evidra.llm.shingles import mixed, shingle_set
 
@@ -300,7 +300,7 @@ def _verified(pairs: DataFrame, src: DataFrame) -> DataFrame:
 def _sets(src: DataFrame, ids: DataFrame) -> DataFrame:
     """(class, rep, shingles) of the documents ``ids`` (one column rep), from their whole texts."""
     need, _ = split_by_ids(src, ids, "doc_id")
-    need = need.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    need = need.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id")  # each id once; a semi-join would be moved before the split, onto all texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -410,7 +410,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     found = written(jaccard_components(df, key, text), "jaccard-found")
     going = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
     maybe, rest = split_by_ids(df, going, key)
-    return rest.unionByName(maybe.join(going, key, "left_anti").select(*df.columns))
+    (gone,) = own_names(df, "jaccard", "gone")
+    left = maybe.join(going.withColumn(gone, F.lit(True)), key, "left").where(F.col(gone).isNull())  # an anti-join would be moved before the split, onto all texts
+    return rest.unionByName(left.select(*df.columns))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

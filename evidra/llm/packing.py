@@ -152,6 +152,12 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
+def _narrow(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones where all are small enough."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else ids
+
+
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", bucket_docs: int | None = None, keep_ids: bool = True) -> DataFrame:
     """A row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
     buckets = max(1, -(-df.count() // (bucket_docs or (BUCKET_DOCS_IDS if keep_ids else BUCKET_DOCS))))
@@ -168,7 +174,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                 n = len(data) // 4
                 for s in range(0, n, window):
                     part = data[4 * s : 4 * (s + window)]
-                    rows.append((s, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None))
+                    rows.append((s, len(part) // 4, zlib.crc32(part), n, _narrow(part) if keep_ids else None))
                     at.append(i)
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             take = pa.array(at, pa.int64())
@@ -189,7 +195,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         base = int(pdf["bucket"].iloc[0]) << 32
         out = pdf.assign(sequence_id=[base + s for s, _ in place], offset=[o for _, o in place])
         if keep_ids:
-            out["ids"] = [np.frombuffer(x, "<i4") for x in out.pop("packed")]
+            out["ids"] = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<i4") for x, n in zip(out.pop("packed"), out["length"])]
         return out.drop(columns="bucket")
 
     return cut.groupBy("bucket").applyInPandas(pack, fields).withColumnRenamed("key", key)

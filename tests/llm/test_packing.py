@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidra.llm.packing import best_fit_decreasing, encoder, op8_packing, pack_documents, vocabulary
+from evidra.llm.packing import _narrow, best_fit_decreasing, encoder, op8_packing, pack_documents, vocabulary
 
 TOK = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
@@ -87,3 +87,8 @@ def test_odd_rows(spark):
     assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice) == 2 * len(rows) + 1
     assert all(len(r.ids) == r.length for r in rows)
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_narrow_ids():
+    small, large = np.array([0, 7, 65_535], "<u4").tobytes(), np.array([7, 65_536], "<u4").tobytes()
+    assert len(_narrow(small)) == 6 and _narrow(large) == large
