@@ -15,14 +15,14 @@ STATUS = {
     "current": r"(?i)\b(?:current|recommended|supported)\b",
 }
 #: Where scheduler lines and prose name partitions, and words that are no names.
-PARTITION_LINE = r"(?im)^[\x20\t]*#SBATCH\s+(?:--partition(?:=|\s+)|-p\s+)([A-Za-z0-9][A-Za-z0-9_-]*)"
-PARTITION_COMMAND = r"(?i)\b(?:sbatch|srun|salloc)\b[^\n#]*?(?:--partition(?:=|\s+)|-p\s+)([A-Za-z0-9][A-Za-z0-9_-]*)"
+PARTITION_LINE = r"(?im)^\s*#SBATCH\s+(?:--partition(?:=|\s+)|-p\s+)([A-Za-z0-9][A-Za-z0-9_-]*)\b"
+PARTITION_COMMAND = r"(?i)\b(?:sbatch|srun|salloc)\b[^\n#]*(?:--partition(?:=|\s+)|-p\s+)([A-Za-z0-9][A-Za-z0-9_-]*)\b"
 PARTITION_LONG = r"(?i)\b([A-Za-z0-9][A-Za-z0-9_-]*-long)\b"
 NO_PARTITIONS = ("partition", "partitions", "queue")
 #: Module commands, and words that are no modules.
 MODULE_LOAD = r"(?im)(?:^|&&|;)\s*(?:\$+\s*)?module\s+load\s+((?:[^\n#;&]|&[^\n#;&])+)"
 #: Version numbers.
-VERSION = r"(?i)\b(?:\d+[.]\d+(?:[.]\d+){0,2}(?:[-+_][A-Za-z0-9][A-Za-z0-9.+_-]*)?|r\d{4}[a-z])\b"
+VERSION = r"(?i)\b(?:\d+\.\d+(?:\.\d+){0,2}(?:[-+_][A-Za-z0-9][A-Za-z0-9.+_-]*)?|r\d{4}[a-z])\b"
 #: A family's names, and the names of its special variants.
 FAMILIES: dict[str, tuple[str, ...]] = {
     "cclake": (r"\bcclake(?:-(?:himem|long))?\b", r"\bcascade\s+lake\b", "/cclake/", r"\blogin-cascadelake\b"),
@@ -49,7 +49,7 @@ PERSONAL = {
 }
 GROUPED = {"USER", "ACCOUNT"}
 PREFIX = {"ACCOUNT": "USER"}
-IPV4 = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:[.](?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"
+IPV4 = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"
 PATH = r"(?:^|\W)/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+"
 
 
@@ -65,7 +65,7 @@ def found(text: Column, pattern: str, group: int) -> Column:
 
 
 def partitions(text: Column, no: Sequence[str] = NO_PARTITIONS) -> Column:
-    """Sorted distinct partition names: of scheduler lines, and ``-long`` names in lines that mention one."""
+    """Sorted distinct partition names: of scheduler lines, the last one a command names, and ``-long`` names in lines that mention one."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.lower(x).contains("partition") | F.lower(x).contains("-long"))
     names = F.concat(found(text, PARTITION_LINE, 1), found(text, PARTITION_COMMAND, 1), F.flatten(F.transform(lines, lambda x: found(x, PARTITION_LONG, 1))))
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: ~F.lower(x).isin(*no))))
@@ -93,29 +93,34 @@ def privacy_flags(text: Column) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in rules.items()]), lambda x: x.isNotNull())
 
 
-def _let(x: Column, of) -> Column:
-    """``of`` a value that is made once, however often it is used."""
-    return F.element_at(F.transform(F.array(x), of), 1)
+#: Fixed value: what aliases look like; a value that holds one gets none.
+VISIBLE = r"\b(?:TICKET|DOC|PERSON|EMAIL|PHONE|USER|PROJECT|ACCOUNT|ORG|LOCATION|IDENTIFIER|SENSITIVE_INFO)_\d+\b"
 
 
-def _values(text: Column, kind: str, pattern: str) -> Column:
-    values = F.transform(found(text, pattern, int(kind in GROUPED)), lambda v: F.trim(v))
-    return F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(PREFIX.get(kind, kind)).alias("prefix")))
+def personal(text: Column, ids: Column | None = None) -> Column:
+    """Array of (value, alias): each value once, under its first kind; a kind's values are numbered by their first places in the text.
 
-
-def personal(text: Column) -> Column:
-    """Array of (value, alias), each value once under its first kind; aliases number a prefix's values in that order."""
-    every = F.concat(*[_values(text, kind, pattern) for kind, pattern in PERSONAL.items()])
-    once = lambda a: F.filter(a, lambda s, i: F.array_position(F.transform(a, lambda x: x["value"]), s["value"]) == i + 1)
-    count = lambda a, s, i: F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x["prefix"] == s["prefix"]))
-    named = lambda a: F.transform(a, lambda s, i: F.struct(s["value"].alias("value"), F.format_string("%s_%03d", s["prefix"], count(a, s, i)).alias("alias")))
-    return _let(every, lambda a: _let(once(a), named))
+    ``ids``, if given, are tickets already known, the first to be numbered.
+    """
+    text = F.coalesce(text, F.lit(""))
+    groups = {prefix: [k for k in PERSONAL if PREFIX.get(k, k) == prefix] for prefix in dict.fromkeys(PREFIX.get(k, k) for k in PERSONAL)}
+    none = F.array().cast("array<string>")
+    known = F.array_distinct(F.filter(F.transform(F.coalesce(ids, none), lambda v: F.trim(v)), lambda v: v != "")) if ids is not None else none
+    seen, out = known, F.array().cast("array<struct<value:string,alias:string>>")
+    for prefix, kinds in groups.items():
+        values = F.concat(*[F.transform(found(text, PERSONAL[k], int(k in GROUPED)), lambda v: F.trim(v)) for k in kinds])
+        fresh = F.array_except(F.filter(values, lambda v: (v != "") & ~v.rlike(VISIBLE)), seen)
+        placed = F.transform(F.array_sort(F.transform(fresh, lambda v, i: F.struct(F.instr(text, v).alias("at"), i.alias("i"), v.alias("v")))), lambda x: x["v"])
+        ordered = F.concat(known, placed) if prefix == "TICKET" else placed
+        out = F.concat(out, F.transform(ordered, lambda v, i: F.struct(v.alias("value"), F.format_string(prefix + "_%03d", i + 1).alias("alias"))))  # noqa: B023
+        seen = F.concat(seen, values)
+    return out
 
 
 def masked(text: Column, aliases: Column) -> Column:
     """The text with every value of ``aliases`` (value, alias) replaced, the longest first, between other characters than letters and digits."""
     ordered = F.array_sort(aliases, lambda a, b: F.when(F.length(a["value"]) != F.length(b["value"]), F.length(b["value"]) - F.length(a["value"])).when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0))
-    bare = lambda v: v.rlike(r"^[A-Za-z0-9._%+-]+(?:@[A-Za-z0-9.-]+\.[A-Za-z]{2,})?$")
+    bare = lambda v: v.rlike(r"^(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|[A-Za-z0-9._-]+)$")
     literal = lambda v: F.concat(F.lit(r"\Q"), v, F.lit(r"\E"))
     pattern = lambda v: F.when(bare(v), F.concat(F.lit("(?<![A-Za-z0-9])"), literal(v), F.lit("(?![A-Za-z0-9])"))).otherwise(literal(v))
     return F.aggregate(ordered, text, lambda t, s: F.regexp_replace(t, pattern(s["value"]), s["alias"]))

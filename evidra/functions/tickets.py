@@ -25,8 +25,8 @@ def comment_role(name: Column, email: Column, assignee: Column, creator: Column,
 class Node:
     """A node whose children are already text: ``parts`` one by one, ``kinds`` their types."""
 
-    def __init__(self, raw: dict, parts: list[str], kinds: list[str]) -> None:
-        self.raw, self.parts, self.kinds = raw, parts, kinds
+    def __init__(self, raw: dict, parts: list[str], kinds: list[str], cells: list[list[str]]) -> None:
+        self.raw, self.parts, self.kinds, self.cells = raw, parts, kinds, cells
         self.whole = "".join(parts)
 
     def attr(self, name: str, default="") -> str:
@@ -60,8 +60,8 @@ READS: dict[str, Callable[[Node], str]] = {
     "bulletList": lambda n: n.items(lambda i: "-"),
     "orderedList": lambda n: n.items(lambda i: f"{n.attr('order', 1) + i}."),
     "listItem": lambda n: f"- {n.whole.strip()}\n",
-    "table": lambda n: n.whole,
-    "tableRow": lambda n: f"| {'|'.join(n.parts)}|\n",
+    "table": lambda n: "".join(f"| {'|'.join(cells)}|\n" for cells in n.cells),
+    "tableRow": lambda n: f"|{'|'.join(n.parts)}|\n",
     "tableCell": lambda n: n.whole.strip(),
     "tableHeader": lambda n: n.whole.strip(),
     "media": lambda n: f"[{n.attr('type', 'unknown').upper()} ATTACHMENT]\n",
@@ -79,6 +79,7 @@ def tree_text(tree: dict | list | None) -> str:
         return ""
     root = {"type": "", "content": tree} if isinstance(tree, list) else tree
     made: dict[int, str] = {}
+    rows: dict[int, list[str]] = {}  # what a node's children read, for the table above it
     todo = [(root, False)]
     while todo:
         node, ready = todo.pop()
@@ -86,7 +87,8 @@ def tree_text(tree: dict | list | None) -> str:
         if not ready:
             todo += [(node, True), *((c, False) for c in inner)]
             continue
-        n = Node(node, [made.pop(id(c)) for c in inner], [c.get("type") for c in inner])
+        n = Node(node, [made.pop(id(c)) for c in inner], [c.get("type") for c in inner], [rows.pop(id(c), []) for c in inner])
+        rows[id(node)] = [p.strip() for p in n.parts]
         made[id(node)] = READS.get(node.get("type"), lambda n: n.whole)(n)
     return made[id(root)]
 

@@ -16,11 +16,16 @@ def text_set(values: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Epoch seconds (double) of ISO dates and times with or without zone, ``Z`` and ``+hhmm`` among them; else null.
+    """Epoch seconds (double) of ISO dates and times, compact or not, with or without zone; else null.
 
-    Texts without a zone are UTC, whatever the session's zone is.
+    Hours alone do, and of a fraction the first six digits count. Texts without a zone are UTC, whatever the session's zone is.
     """
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    t = F.regexp_replace(F.trim(text), "Z$", "+00:00")
+    t = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    t = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(?:(\d{2})(?=$|[.,+-]))?", "$1:$2:$3")
+    t = F.regexp_replace(F.regexp_replace(t, ":(?=$|[+-])", ""), r"([T ]\d{2}(?::\d{2}){0,2}(?:[.,]\d+)?[+-]\d{2}):?(\d{2})$", "$1:$2")
+    t = F.regexp_replace(F.regexp_replace(t, r"([T ]\d{2})(?=$|[+-])", "$1:00"), r"([T ]\d{2}:\d{2})(?=$|[+-])", "$1:00")
+    t = F.regexp_replace(t, r"[.,](\d{1,6})\d*", ".$1")
     day = t.rlike(r"^\d{4}-\d{2}-\d{2}$")
     time = t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?([+-]\d{2}:\d{2})?$")
     zoned = F.when(day, F.concat(t, F.lit("T00:00:00+00:00"))).when(~t.rlike(r"[+-]\d{2}:\d{2}$"), F.concat(t, F.lit("+00:00"))).otherwise(t)

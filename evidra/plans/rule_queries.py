@@ -18,7 +18,7 @@ from evidra.operators import blind as B
 from evidra.operators import reranking as K
 
 TEXTS = [
-    (-1, "#SBATCH --partition=icelake-himem\n  #SBATCH -p cclake\nsbatch -p ampere job.sh && srun --partition queue x"),
+    (-1, "#SBATCH --partition=icelake-himem\n  #SBATCH -p cclake\nsbatch -p ampere job.sh && srun --partition sapphire x\nsalloc -p queue"),
     (-2, "Use the sapphire-long partition, or Icelake-Long.\r\nThe end-of-life of Cascade  Lake is near.   \n\n\n\nDone"),
     (-3, "module load gcc/11.2.0 openmpi-4.1 # not this\n$ module load -q 'python/3.9' && module load cuda/12.1; echo"),
     (-4, "This service is legacy, was retired, and maintenance goes on."),
@@ -27,7 +27,7 @@ TEXTS = [
     (-7, "mail a.b@example.org from 10.1.2.3, eolian harps are unsupported"),
     (-8, ""),
 ]
-STAMPS = [("2024-02-29T10:00:00.123+0100", 1709197200.123), ("2024-02-29T10:00:00Z", 1709200800.0), ("2024-02-29 10:00:00", 1709200800.0), ("2024-02-29", 1709164800.0), (" 2024-02-29 ", 1709164800.0), ("2024-02-30", None), ("2024-02", None), ("yesterday", None), ("", None)]
+STAMPS = [("2024-02-29T10:00:00.123+0100", 1709197200.123), ("2024-02-29T10:00:00Z", 1709200800.0), ("2024-02-29 10:00:00", 1709200800.0), ("2024-02-29", 1709164800.0), (" 2024-02-29 ", 1709164800.0), ("2024-02-30", None), ("20240229", 1709164800.0), ("2024-02-29T10", 1709200800.0), ("20240229T1000", 1709200800.0), ("20240229T100000.1234567+0100", 1709197200.123456), ("2024-02-29 10:00:00.1234567", 1709200800.123456), ("2024-02-29T10+01:00", 1709197200.0), ("2024-02", None), ("yesterday", None), ("", None)]
 NUMBERS = [("1.5", 1.5), (" 2 ", 2.0), ("true", 1.0), ("False", 0.0), ("1e3", 1000.0), (".5", 0.5), ("", None), ("abc", None), ("0x1", None), ("12d", None)]
 
 
@@ -213,7 +213,7 @@ _FAMILY = {
 }
 SQL = {
     "lifecycle_status": f"WITH {_D} SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(eol|end[- ]of[- ]life)\\b') THEN 'eol' WHEN regexp_matches(text, '(?i)\\b(legacy|retired|deprecated)\\b') THEN 'legacy' WHEN regexp_matches(text, '(?i)\\bmaintenance\\b') THEN 'maintenance' WHEN regexp_matches(text, '(?i)\\b(current|recommended|supported)\\b') THEN 'current' ELSE 'unknown' END AS status FROM d",
-    "partition_names": f"WITH {_D}, p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?im)^[ \\t]*#SBATCH\\s+(?:--partition(?:=|\\s+)|-p\\s+)([A-Za-z0-9][A-Za-z0-9_-]*)', 1)) AS n FROM d UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:sbatch|srun|salloc)\\b[^\\n#]*?(?:--partition(?:=|\\s+)|-p\\s+)([A-Za-z0-9][A-Za-z0-9_-]*)', 1)) FROM d UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b([A-Za-z0-9][A-Za-z0-9_-]*-long)\\b', 1)) FROM d) SELECT DISTINCT doc_id, n AS partition_name FROM p WHERE lower(n) NOT IN ('partition', 'partitions', 'queue')",
+    "partition_names": f"WITH {_D}, p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?im)^[ \\t]*#SBATCH\\s+(?:--partition(?:=|\\s+)|-p\\s+)([A-Za-z0-9][A-Za-z0-9_-]*)', 1)) AS n FROM d UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:sbatch|srun|salloc)\\b[^\\n#]*(?:--partition(?:=|\\s+)|-p\\s+)([A-Za-z0-9][A-Za-z0-9_-]*)', 1)) FROM d UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b([A-Za-z0-9][A-Za-z0-9_-]*-long)\\b', 1)) FROM d) SELECT DISTINCT doc_id, n AS partition_name FROM p WHERE lower(n) NOT IN ('partition', 'partitions', 'queue')",
     "module_tokens": f"WITH {_D}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?im)(?:^|&&|;)\\s*(?:[$]+\\s*)?module\\s+load\\s+((?:[^\\n#;&]|&[^\\n#;&])+)', 1)) AS c FROM d), w AS (SELECT doc_id, unnest(regexp_split_to_array(split_part(c, '&&', 1), '[\\s,]+')) AS t FROM m) SELECT DISTINCT doc_id, trim(t, '`''\"()[]{{}}') AS module FROM w WHERE trim(t, '`''\"()[]{{}}') <> '' AND t NOT LIKE '-%'",
     "versions": f"WITH {_D}, v AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:[0-9]+[.][0-9]+(?:[.][0-9]+)?(?:[.][0-9]+)?(?:[-+_][A-Za-z0-9][A-Za-z0-9.+_-]*)?|r[0-9][0-9][0-9][0-9][a-z])\\b')) AS version FROM d) SELECT doc_id, version FROM v",
     "scope_families": f"WITH {_D}, f AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in _FAMILY.items())}) x(family, names)) SELECT doc_id, family FROM d, f WHERE regexp_matches(text, '(?i)\\b(' || names || ')\\b')",

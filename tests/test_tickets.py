@@ -25,6 +25,7 @@ CASES = [
     (node("codeBlock", text("ls"), language="bash"), "```bash\nls\n```\n"), (node("blockquote", node("paragraph", text("a")), node("paragraph"), node("paragraph", text("b"))), "> a\n\n> b\n"),
     (node("expand", node("paragraph", text("in")), title="More"), "More\n\nin\n"), (node("rule"), "\n---\n"),
     (node("table", node("tableRow", node("tableHeader", node("paragraph", text("h"))), node("tableCell", text(" c ")))), "| h|c|\n"),
+    (node("tableRow", node("tableCell", node("paragraph", text(" a "))), node("tableCell", text("b"))), "|a|b|\n"),
     (node("mediaSingle", node("media", type="file")), "[FILE ATTACHMENT]\n"), (node("mention", id="7"), "@7"), (node("mention", text="@Ann", id="7"), "@Ann"),
     (node("paragraph", node("emoji", shortName=":x:"), node("hardBreak"), node("status", text="OPEN"), node("inlineCard", url="u"), node("date", timestamp="12")), ":x:\nOPENu12\n"),
     (text("c", marks=[{"type": "code"}, {"type": "link", "attrs": {"href": "u"}}]), "[`c`](u)"), (node("strange", node("paragraph", text("in"))), "in\n"),
