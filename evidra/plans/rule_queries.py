@@ -181,8 +181,8 @@ AUTHORITY = {"local_official": 1.0, "external_official": 0.6, "ticket_memory": 0
 STATUS = {"current": 1.0, "maintenance": 0.5, "legacy": -0.5, "eol": -1.0}
 
 
-def validity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as candidates, twenty a query, of two sources; every second query asks for a brand."""
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as candidates, twenty a query, of two sources, and what is asked; every second query asks for a brand."""
     one = lambda when, x: F.when(when, F.array(x)).otherwise(F.array().cast("array<string>"))
     size, q = F.col("p_size"), F.col("query_id")
     none = F.array().cast("array<string>")
@@ -200,7 +200,11 @@ def validity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", F.when(q % 2 == 0, F.array(F.concat(F.lit("BRAND#"), q % 5 + 1, q % 5 + 1), F.lit("Brand#13"))).alias("software_names"), one(q % 3 == 0, F.lit(" economy ")).alias("system_names"), none.alias("partition_names"), none.alias("service_names"),
         one(q % 4 < 3, F.lit("icelake")).alias("scope_family_names"), none.alias("module_names"), F.when(q % 5 == 0, F.array(F.lit("10"), F.lit("20"), F.lit("30"))).otherwise(none).alias("software_versions"), none.alias("toolchain_versions"),
     )
-    out = K.validity_rerank(rows, asked, WEIGHTS, AUTHORITY, STATUS, {"tickets": 0.5})
+    return rows, asked
+
+
+def validity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.validity_rerank(*candidates(spark, sf_dir), WEIGHTS, AUTHORITY, STATUS, {"tickets": 0.5})
     return out.select("query_id", "id", "gate", F.round("final", 6).alias("final"), "place")
 
 

@@ -373,16 +373,6 @@ def message_ids(d):
     return f"SELECT conv_id, turn, concat(cast(conv_id as varchar(19)), '::msg::', {d.padded('turn', 4)}) AS message_id FROM conversations"
 
 
-@plan
-def best_trial(d):
-    return "SELECT l_suppkey, objective FROM (SELECT l_suppkey, round(avg(l_discount), 9) AS objective, row_number() OVER (ORDER BY round(avg(l_discount), 9) DESC, l_suppkey) AS n FROM lineitem GROUP BY l_suppkey) x WHERE n = 1"
-
-
-@plan
-def anchor_trials(d):
-    return "SELECT p_partkey, p_brand, p_size FROM (SELECT p_partkey, p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) x WHERE n = 1"
-
-
 @plan
 def best_concurrency(d):
     return "SELECT event_type FROM (SELECT event_type, row_number() OVER (ORDER BY CASE WHEN avg(value) < 60 THEN 0 ELSE 1 END, count(*) DESC, event_type) AS n FROM events GROUP BY event_type) x WHERE n = 1"
