@@ -7,9 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.functions import metrics as M
 from evidra.operators import reranking as K
 from evidra.operators import splits as S
 from evidra.operators import tuning as U
+from evidra.plans import retrieval_queries as Q
 from evidra.plans import rule_queries as R
 
 
@@ -55,7 +57,33 @@ def multilabel_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("label", "value", "total", goal.alias("goal"), (F.abs(F.col("test") - goal) <= 1).alias("met"))
 
 
-QUERIES = {f.__name__: f for f in (tuning_trials, best_trial, anchor_trials, multilabel_split, multilabel_balance)}
+def _scores(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Nearest vectors against those of the query's label."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return M.retrieval_scores(Q.dense_topk(spark, sf_dir).withColumnRenamed("vec_id", "id"), asked.join(e, "label").select("query_id", F.col("vec_id").alias("id")), k)
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, 5).select("query_id", F.round("recall", 9).alias("recall"))
+
+
+def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, 10).select("query_id", F.round("ndcg", 9).alias("ndcg"))
+
+
+def condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by return flag: two metrics of a column, one of two columns, and one that these rows have no column for."""
+    r = M.Registry()
+    r.register("discount", ["l_discount"], lambda: F.col("l_discount"))
+    r.register("tax", ["l_tax"], lambda: F.col("l_tax"))
+    r.register("net", ["l_extendedprice", "l_discount"], lambda: F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    r.register("judged", ["response", "reference"], lambda: F.lit(1.0))
+    out = M.condition_summary(_t(spark, sf_dir, "lineitem"), "l_returnflag", F.col("l_linestatus") != "F", r)
+    return out.select(F.col("l_returnflag").alias("condition_name"), "n_rows", "success", "failed", *[F.round(c, d).alias(c) for c, d in (("discount", 6), ("tax", 6), ("net", 2))])
+
+
+QUERIES = {f.__name__: f for f in (recall_at_k, ndcg_at_10, condition_summary, tuning_trials, best_trial, anchor_trials, multilabel_split, multilabel_balance)}
 _TRIALS = U.first_trials("core")
 _RANKED = R.SQL["validity_rerank"].partition("\nt AS (")[0]
 _SCORES = f"""{_RANKED}
@@ -67,7 +95,11 @@ s AS (SELECT trial, wa::DOUBLE AS authority, ws::DOUBLE AS scope, wt::DOUBLE AS
 _ORDER = "objective DESC, ndcg DESC, recall DESC, authority + scope + status + freshness, authority DESC, freshness DESC, scope DESC, status DESC"
 _NAMED = "authority, scope, status, freshness"
 _LABELLED = "r AS (SELECT l.quality, l.toxic, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)), e AS (UNPIVOT (SELECT lang, source, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM r) ON lang, source, quality, toxic INTO NAME label VALUE value)"
+_FOUND = "h AS (SELECT q.query_id, q.vec_id, q.rank, a.label = b.label AS hit FROM ({dense}) q JOIN embeddings a ON a.vec_id = q.query_id JOIN embeddings b ON b.vec_id = q.vec_id), n AS (SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 GROUP BY 1)".format(dense=Q.SQL["dense_topk"])
 SQL = {
+    "recall_at_k": f"WITH {_FOUND} SELECT query_id, round(count_if(hit AND rank <= 5) / any_value(n), 9) AS recall FROM n LEFT JOIN h USING (query_id) GROUP BY 1",
+    "ndcg_at_10": f"WITH {_FOUND} SELECT query_id, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= 10), 0) / list_sum(list_transform(range(1, (least(any_value(n), 10) + 1)::BIGINT), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM n LEFT JOIN h USING (query_id) GROUP BY 1",
+    "condition_summary": "SELECT l_returnflag AS condition_name, count(*) AS n_rows, count_if(l_linestatus = 'F') AS success, count_if(l_linestatus <> 'F') AS failed, round(avg(l_discount) FILTER (WHERE l_linestatus = 'F'), 6) AS discount, round(avg(l_tax) FILTER (WHERE l_linestatus = 'F'), 6) AS tax, round(avg(l_extendedprice * (1 - l_discount)) FILTER (WHERE l_linestatus = 'F'), 2) AS net FROM lineitem GROUP BY 1",
     "tuning_trials": f"{_SCORES} SELECT * FROM s",
     "best_trial": f"{_SCORES} SELECT {_NAMED} FROM s ORDER BY {_ORDER} LIMIT 1",
     "anchor_trials": f"{_SCORES}, firsts AS (SELECT *, row_number() OVER (PARTITION BY authority, scope, status ORDER BY objective DESC, ndcg DESC, {_ORDER}) AS i FROM s) SELECT {_NAMED} FROM firsts WHERE i = 1 ORDER BY objective DESC, ndcg DESC, {_ORDER} LIMIT 2",

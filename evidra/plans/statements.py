@@ -217,11 +217,6 @@ def composition_summary(d):
     return "SELECT count(*) AS total, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(quality = 1 AND toxic = 1) AS both_, count_if(lang = 'en' AND quality = 0) AS english_bad FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
 
 
-@plan
-def condition_summary(d):
-    return "SELECT l_returnflag AS condition_name, count(*) AS n_rows, count_if(l_linestatus = 'F') AS success, count_if(l_linestatus <> 'F') AS failed, round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY l_returnflag"
-
-
 @plan
 def subgroup_grouping_sets(d):
     return "SELECT l_returnflag, coalesce(l_linestatus, '__all__') AS linestatus, coalesce(cast(l_linenumber as varchar(9)), '__all__') AS linenumber, count(*) AS n, round(avg(l_quantity), 6) AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus), (l_returnflag, l_linenumber))"
@@ -433,16 +428,6 @@ def bm25_stats(d):
     return f"WITH t AS (SELECT doc_id, w FROM documents {d.unnest(_tokens(d), 'u', 'w')}), l AS (SELECT d.doc_id, count(t.w) AS n FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id) SELECT (SELECT count(DISTINCT w) FROM t) AS terms, (SELECT count(*) FROM t) AS postings, round(greatest(avg(n), 1), 6) AS avgdl, count(*) AS docs FROM l"
 
 
-@plan
-def recall_at_k(d):
-    return f"SELECT x.doc_id, CASE WHEN {d.size('b.w')} = 0 THEN NULL ELSE round({d.size(d.both('b.w', 'x.w'))} / cast({d.size('b.w')} as double), 6) END AS recall FROM (SELECT doc_id, {d.distinct(_tokens(d))} AS w FROM documents) x JOIN (SELECT item_id, {d.distinct(_tokens(d))} AS w FROM benchmark) b ON b.item_id = x.doc_id % 40"
-
-
-@plan
-def ndcg_at_10(d):
-    return "SELECT q, round(dcg / ideal, 6) AS ndcg FROM (SELECT q, sum(CASE WHEN hit = 1 AND r <= 10 THEN 1 / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN r <= hits AND r <= 10 THEN 1 / log2(r + 1) ELSE 0 END) AS ideal FROM (SELECT source AS q, quality AS hit, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS r, sum(quality) OVER (PARTITION BY source) AS hits FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY q) y WHERE ideal > 0"
-
-
 @plan
 def rrf_rerank(d):
     return "SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, best DESC, doc_id) AS place FROM (SELECT lang AS q, doc_id, n_chars AS best, round(1.0 / (60 + a) + 2.0 / (60 + b), 9) AS rrf FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents) x) y".replace("1.0 /", "cast(1 as double) /").replace("2.0 /", "cast(2 as double) /")
