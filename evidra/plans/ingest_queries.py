@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.functions import pages as G
 from evidra.functions import urls as U
 from evidra.operators import crawl as C
 from evidra.operators import positions as P
@@ -59,7 +60,15 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.joined_by_place(a, b).select("place", "o_orderkey", "o_orderkey_right", "o_totalprice")
 
 
-QUERIES = {f.__name__: f for f in (ticket_pages, page_links, url_canonical, page_crawl, positional_join)}
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", G.to_markdown(F.col("html")).alias("markdown"))
+
+
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.page_chunks(_t(spark, sf_dir, "pages"), "page_id", "html", 500)
+
+
+QUERIES = {f.__name__: f for f in (html_markdown, page_chunks, ticket_pages, page_links, url_canonical, page_crawl, positional_join)}
 _HREF = "'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1"
 _CANON = "regexp_replace(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1), '^.*$', lower(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1))) || CASE WHEN regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE rtrim(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') END || regexp_extract(u, '^[^#]*?([?][^#]*)?(#|$)', 1)"
 SQL = {
