@@ -32,27 +32,6 @@ def scan_payload(d):
     return "SELECT doc_id, lang, source, n_chars FROM documents WHERE source = 'src3' AND n_chars >= 200"
 
 
-@plan
-def upsert_latest(d):
-    return "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) x WHERE n = 1"
-
-
-@plan
-def delete_ref_docs(d):
-    return "SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = c.conv_id)"
-
-
-@plan
-def runs_from_paths(d):
-    path = "concat('/data/dev/cond_', cast(o_custkey % 7 as varchar(9)), '/run_', lpad(cast(o_orderkey % 5 as varchar(9)), 2, '0'), '/scores.csv')"
-    return f"SELECT o_orderkey, {d.first('p', '/([^/]+)/run_', 1)} AS condition_name, cast({d.first('p', 'run_([0-9]+)', 1)} as int) AS repeat_index FROM (SELECT o_orderkey, {path} AS p FROM orders) x"
-
-
-@plan
-def events_props_json(d):
-    return f"SELECT event_id, cast({d.prop('props', 'k')} as bigint) AS k FROM events WHERE props IS NOT NULL"
-
-
 @plan
 def filter_exclude(d):
     return f"SELECT doc_id FROM documents WHERE upper(source) NOT IN ('SRC0', 'SRC5') AND NOT (text LIKE '%License%' OR text LIKE '%license%')"
@@ -194,11 +173,6 @@ def sparse_expand(d):
     return f"SELECT item_id, concat(text, ' ', {d.join(d.items('n_name', 'n_nationkey'), ' ')}) AS expanded FROM benchmark JOIN nation ON n_regionkey = item_id % 5 GROUP BY item_id, text"
 
 
-@plan
-def multi_merge(d):
-    return "SELECT l_orderkey, l_partkey, max(l_extendedprice) AS best_score, min(l_linenumber) AS best_rank, CASE WHEN count(DISTINCT l_shipmode) > 1 THEN 'multi' ELSE min(l_shipmode) END AS source FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) x GROUP BY l_orderkey, l_partkey"
-
-
 # --- aggregations
 
 
@@ -428,11 +402,6 @@ def bm25_stats(d):
     return f"WITH t AS (SELECT doc_id, w FROM documents {d.unnest(_tokens(d), 'u', 'w')}), l AS (SELECT d.doc_id, count(t.w) AS n FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id) SELECT (SELECT count(DISTINCT w) FROM t) AS terms, (SELECT count(*) FROM t) AS postings, round(greatest(avg(n), 1), 6) AS avgdl, count(*) AS docs FROM l"
 
 
-@plan
-def rrf_rerank(d):
-    return "SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, best DESC, doc_id) AS place FROM (SELECT lang AS q, doc_id, n_chars AS best, round(1.0 / (60 + a) + 2.0 / (60 + b), 9) AS rrf FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents) x) y".replace("1.0 /", "cast(1 as double) /").replace("2.0 /", "cast(2 as double) /")
-
-
 @plan
 def stratified_split(d):
     return "SELECT doc_id, lang, CASE WHEN n > 1 AND i <= ceil(n * cast(0.3 as double)) THEN 'test' ELSE 'dev' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(cast(doc_id as varchar(19))), doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) x"
