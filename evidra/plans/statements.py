@@ -238,21 +238,6 @@ def count_tickets(d):
     return f"SELECT count(*) AS chunks, count(DISTINCT {parent}) AS tickets FROM conversations"
 
 
-@plan
-def entity_merge(d):
-    return f"SELECT p_type, lower(p_brand) AS name, min(p_partkey) AS primary_id, {d.join(d.sort(d.distinct(d.items('cast(p_size as varchar(9))', 'p_partkey'))), '|')} AS versions, CASE WHEN count(DISTINCT p_size) = 1 THEN 'current' ELSE 'unknown' END AS status FROM part GROUP BY p_type, lower(p_brand)"
-
-
-@plan
-def registry_merge(d):
-    return "SELECT name, min(kind) AS kind, count(*) AS n FROM (SELECT lower(n_name) AS name, 'nation' AS kind FROM nation UNION ALL SELECT lower(r_name), 'region' FROM region) x GROUP BY name"
-
-
-@plan
-def registry_summary(d):
-    return "SELECT coalesce(p_brand, '*') AS brand, coalesce(p_type, '*') AS kind, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())"
-
-
 @plan
 def trial_objective(d):
     return "SELECT l_suppkey, round(coalesce((avg(l_discount) + avg(l_tax)) / 2, -1.0), 6) AS objective FROM lineitem GROUP BY l_suppkey"
