@@ -13,6 +13,8 @@ from evidra.operators import crawl as C
 from evidra.operators import positions as P
 from evidra.sources import tickets as T
 from evidra.sources.shared import shared_folder
+from evidra.streaming import tickets as W
+from evidra.streaming.streams import events_stream
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +70,24 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page_chunks(_t(spark, sf_dir, "pages"), "page_id", "html", 500)
 
 
-QUERIES = {f.__name__: f for f in (html_markdown, page_chunks, ticket_pages, page_links, url_canonical, page_crawl, positional_join)}
+def stream_open_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as messages of a ticket that a purchase resolves, or twelve hours without any close."""
+    e = events_stream(spark, sf_dir).select(F.col("user_id").alias("ticket"), "ts", F.col("event_id").cast("string").alias("text"), (F.col("event_type") == "purchase").alias("resolves"))
+    out = shared_folder(spark, "open-tickets")
+    W.run(e, 12 * 3_600_000, f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(W.CLOSED).parquet(f"{out}/out")
+
+
+QUERIES = {f.__name__: f for f in (stream_open_tickets, html_markdown, page_chunks, ticket_pages, page_links, url_canonical, page_crawl, positional_join)}
 _HREF = "'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1"
 _CANON = "regexp_replace(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1), '^.*$', lower(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1))) || CASE WHEN regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE rtrim(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') END || regexp_extract(u, '^[^#]*?([?][^#]*)?(#|$)', 1)"
 SQL = {
+    "stream_open_tickets": "WITH e AS (SELECT user_id::VARCHAR AS ticket, epoch_us(ts) AS us, event_id::VARCHAR AS text, event_type = 'purchase' AS done FROM events), "
+    "b AS (SELECT *, CASE WHEN lag(done) OVER w OR us - lag(us) OVER w >= 43200000000 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY ticket ORDER BY us, text)), "
+    "s AS (SELECT *, sum(cut) OVER (PARTITION BY ticket ORDER BY us, text) AS n FROM b), "
+    "g AS (SELECT ticket, n, bool_or(done) AS done, max(us) AS last, max(n) OVER (PARTITION BY ticket) AS final FROM s GROUP BY ticket, n) "
+    "SELECT ticket, row_number() OVER (PARTITION BY ticket, n ORDER BY us, text) - 1 AS seq, us AS \"at\", text, CASE WHEN g.done THEN 'resolved' ELSE 'timed_out' END AS outcome "
+    "FROM s JOIN g USING (ticket, n) WHERE g.done OR g.n < final OR g.last // 1000 + 43200000 <= (SELECT max(us) // 1000 FROM e)",
     "ticket_pages": "SELECT 'EV-' || event_id AS key, CASE WHEN event_type = 'error' THEN 'Open' ELSE 'Resolved' END AS status, event_type || ' of user ' || user_id AS summary, value FROM events WHERE event_type IN ('purchase', 'click') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20 12:00:00' AND event_id NOT IN (1000, 2000)",
     "url_canonical": f"SELECT page_id, {_CANON} AS canonical FROM (SELECT page_id, trim(url) AS u FROM pages)",
     "page_links": f"WITH p AS (SELECT url, {_CANON} AS page, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) AS own, regexp_extract_all(html, {_HREF}) AS h FROM (SELECT url, html, trim(url) AS u FROM pages)), "
