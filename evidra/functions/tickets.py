@@ -93,15 +93,17 @@ def tree_text(tree: dict | list | None) -> str:
     return made[id(root)]
 
 
+def read_tree(raw: str | None) -> str:
+    """The text of a JSON tree; null and what is no JSON tree are empty."""
+    try:
+        tree = json.loads(raw or "null")
+    except ValueError:
+        return ""
+    return tree_text(tree) if isinstance(tree, (dict, list)) else ""
+
+
 def _texts(trees: pd.Series) -> pd.Series:
-    def one(raw: str | None) -> str:
-        try:
-            tree = json.loads(raw or "null")
-        except ValueError:
-            return ""
-        return tree_text(tree) if isinstance(tree, (dict, list)) else ""
-
-    return trees.map(one)
+    return trees.map(read_tree)
 
 
 def rich_text(trees: Column) -> Column:

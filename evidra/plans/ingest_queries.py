@@ -11,6 +11,7 @@ from evidra.functions import pages as G
 from evidra.functions import urls as U
 from evidra.operators import crawl as C
 from evidra.operators import positions as P
+from evidra.operators import ticket_documents as D
 from evidra.sources import tickets as T
 from evidra.sources.shared import shared_folder
 from evidra.streaming import tickets as W
@@ -78,10 +79,38 @@ def stream_open_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(W.CLOSED).parquet(f"{out}/out")
 
 
-QUERIES = {f.__name__: f for f in (stream_open_tickets, html_markdown, page_chunks, ticket_pages, page_links, url_canonical, page_crawl, positional_join)}
+def ticket_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw tickets: the first turn describes, the others are comments; every third is resolved a day after it came."""
+    leaf = lambda t: F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.coalesce(t, F.lit("")).alias("text"))).alias("content"))).alias("content"))
+    who = lambda c: F.struct(c.alias("emailAddress"))
+    user, desk = F.concat(F.lit("user"), F.col("conv_id"), F.lit("@x.org")), F.lit("desk@x.org")
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    comment = lambda x: F.struct(who(F.when(x["role"] == "assistant", desk).otherwise(user)).alias("author"), leaf(x["text"]).alias("body"))
+    rest = F.transform(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), comment)
+    day = lambda n: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 300).cast("int") + n), "yyyy-MM-dd'T'HH:mm:ss'.000+0000'")
+    fields = F.struct(
+        F.concat(F.lit("Ticket of "), user).alias("summary"), leaf(F.col("t")[0]["text"]).alias("description"), F.struct(F.when(F.col("conv_id") % 3 == 0, "Resolved").otherwise("Open").alias("name")).alias("status"), day(0).alias("created"),
+        F.when(F.col("conv_id") % 3 == 0, day(1)).alias("resolutionDate"), who(desk).alias("assignee"), who(user).alias("creator"), who(user).alias("reporter"), F.struct(rest.alias("comments")).alias("comment"),
+    )
+    raw = turns.select(F.concat(F.lit("DEMO-"), "conv_id").alias("key"), F.to_json(fields).alias("fields"))
+    return D.documents(raw).select("key", "text", "markdown", "resolved_at", "time_to_resolution", "status")
+
+
+QUERIES = {f.__name__: f for f in (ticket_documents, stream_open_tickets, html_markdown, page_chunks, ticket_pages, page_links, url_canonical, page_crawl, positional_join)}
 _HREF = "'(?is)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1"
 _CANON = "regexp_replace(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1), '^.*$', lower(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1))) || CASE WHEN regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE rtrim(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') END || regexp_extract(u, '^[^#]*?([?][^#]*)?(#|$)', 1)"
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_DAY = "strftime(DATE '2024-01-01' + (conv_id % 300)::INT + {}, '%Y-%m-%dT00:00:00.000+0000')"
+_MARKDOWN = "concat('# Ticket ', key, chr(10), chr(10), '- Summary: ', summary, chr(10), '- Status: ', status, chr(10), '- Created: ', created, chr(10), '- Resolved: ' || resolved_at || chr(10), chr(10), '## Initial Description', chr(10), chr(10), CASE WHEN tidy = '' THEN '_No description provided._' ELSE tidy END, chr(10), chr(10), '## Conversation', chr(10), coalesce(told, chr(10) || '_No comments._'))"
 SQL = {
+    "ticket_documents": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, coalesce(text, '') || chr(10) AS body, CASE WHEN role = 'assistant' THEN 'HELPDESK_ASSIGNEE' ELSE 'TICKET_CREATOR' END AS who FROM conversations), "
+    f"m AS (SELECT *, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS stripped, {_TIDY.format('body')} AS tidy FROM t), "
+    "c AS (SELECT conv_id, coalesce(string_agg('<MESSAGE id=' || lpad(i::VARCHAR, 4, '0') || ' role=' || who || '>' || chr(10) || stripped || chr(10) || '</MESSAGE>' || chr(10) || chr(10), '' ORDER BY i) FILTER (WHERE i > 0), '') AS said, "
+    "string_agg(chr(10) || '### Message ' || lpad(i::VARCHAR, 4, '0') || ' (' || who || ')' || chr(10) || chr(10) || CASE WHEN tidy = '' THEN '_Empty message._' ELSE tidy END, chr(10) ORDER BY i) FILTER (WHERE i > 0) AS told, max(body) FILTER (WHERE i = 0) AS body, max(tidy) FILTER (WHERE i = 0) AS tidy FROM m GROUP BY conv_id), "
+    f"d AS (SELECT *, 'DEMO-' || conv_id AS key, CASE WHEN conv_id % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status, 'Ticket of user' || conv_id || '@x.org' AS summary, {_DAY.format(0)} AS created, CASE WHEN conv_id % 3 = 0 THEN {_DAY.format(1)} END AS resolved_at FROM c) "
+    "SELECT key, status, resolved_at, CASE WHEN resolved_at IS NOT NULL THEN 86400.0::DOUBLE END AS time_to_resolution, "
+    "'<BEGIN_TICKET>' || chr(10) || '[TICKET_KEY] ' || key || chr(10) || '[STATUS] ' || status || chr(10) || '[CREATED] ' || created || chr(10) || '[SUMMARY] ' || summary || chr(10) || chr(10) || '[INITIAL_DESCRIPTION]' || chr(10) || body || chr(10) || chr(10) || '[CONVERSATION]' || chr(10) || said || '<END_TICKET>' AS text, "
+    f"{_TIDY.format(_MARKDOWN)} AS markdown FROM d",
     "stream_open_tickets": "WITH e AS (SELECT user_id::VARCHAR AS ticket, epoch_us(ts) AS us, event_id::VARCHAR AS text, event_type = 'purchase' AS done FROM events), "
     "b AS (SELECT *, CASE WHEN lag(done) OVER w OR us - lag(us) OVER w >= 43200000000 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY ticket ORDER BY us, text)), "
     "s AS (SELECT *, sum(cut) OVER (PARTITION BY ticket ORDER BY us, text) AS n FROM b), "

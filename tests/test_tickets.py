@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from evidra.operators.ticket_documents import documents
 from evidra.functions.filters import matches
 from evidra.functions.tickets import rich_text, tree_text
 from evidra.operators.blind import blind_key, blind_sheet
@@ -63,3 +64,25 @@ def test_blind(spark):
     assert all(r.system_A == f"{key[r.query_id, 'system_A']}{r.query_id}" for r in blind_sheet(df, ["u", "v"]).collect())
     with pytest.raises(Exception, match="not every condition answers query 3"):
         blind_key(df.where(~((F.col("query_id") == 3) & (F.col("condition") == "u"))), ["u", "v"]).collect()
+
+
+def test_ticket_documents(spark):
+    person = lambda e, n=None: {"emailAddress": e, **({"displayName": n} if n else {})}
+    para = lambda t: {"type": "paragraph", "content": [{"type": "text", "text": t}]}
+    fields = {
+        "summary": "Cannot access docs", "description": para("Initial  problem.  \r\n\n\n\nMore"), "status": {"name": "Resolved"}, "created": "2025-01-01T09:00:00.000+0000", "updated": "2025-01-01T10:00:00.000+0000", "resolutionDate": "2025-01-01T11:00:00.500+0000",
+        "assignee": person("a@x"), "creator": person("c@x"), "reporter": person("r@x"), "customfield_10042": [person("p@x")],
+        "comment": {"comments": [{"author": person("c@x", "C"), "body": para("First")}, {"author": person("a@x"), "body": para(" Reply ")}, {"author": person("p@x"), "body": None}, {"author": person("r@x"), "body": {"type": "doc", "content": [para("a"), {"type": "bulletList", "content": [{"type": "listItem", "content": [para("b")]}]}]}}, {"author": person("z", "Automation Pseudo-User"), "body": para("")}]},
+    }
+    bare = {"summary": None, "status": {"name": "open"}, "created": "2025-01-01T09:00:00.000+0000", "comment": {"comments": []}}
+    df = spark.createDataFrame([("DEMO-1", json.dumps(fields)), ("DEMO-2", json.dumps(bare)), ("DEMO-3", "no json"), ("DEMO-4", None)], "key string, fields string")
+    got = {r.key: r for r in documents(df).collect()}
+    one = got["DEMO-1"]
+    assert one.markdown == (
+        "# Ticket DEMO-1\n\n- Summary: Cannot access docs\n- Status: RESOLVED\n- Created: 2025-01-01T09:00:00.000+0000\n- Updated: 2025-01-01T10:00:00.000+0000\n- Resolved: 2025-01-01T11:00:00.500+0000\n\n## Initial Description\n\nInitial  problem.\n\nMore\n\n## Conversation\n\n"
+        "### Message 0001 (TICKET_CREATOR)\n\nFirst\n\n### Message 0002 (HELPDESK_ASSIGNEE)\n\nReply\n\n### Message 0003 (HELPDESK_PRINCIPAL_INVESTIGATOR)\n\n_Empty message._\n\n### Message 0004 (REPORTER)\n\na\n- b\n\n### Message 0005 (AUTOMATED_PSEUDOUSER)\n\n_Empty message._"
+    )
+    assert one.text.startswith("<BEGIN_TICKET>\n[TICKET_KEY] DEMO-1\n[STATUS] RESOLVED\n[CREATED] 2025-01-01T09:00:00.000+0000\n[SUMMARY] Cannot access docs\n\n[INITIAL_DESCRIPTION]\nInitial  problem.")
+    assert "<MESSAGE id=0002 role=HELPDESK_ASSIGNEE>\nReply\n</MESSAGE>\n\n" in one.text and one.text.endswith("</MESSAGE>\n\n<END_TICKET>") and one.time_to_resolution == 7200.5
+    assert got["DEMO-2"].markdown.endswith("## Initial Description\n\n_No description provided._\n\n## Conversation\n\n_No comments._") and got["DEMO-2"].time_to_resolution is None
+    assert got["DEMO-3"].status == got["DEMO-4"].status == "" and got["DEMO-4"].text.startswith("<BEGIN_TICKET>\n[TICKET_KEY] DEMO-4\n")
