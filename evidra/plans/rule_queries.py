@@ -14,6 +14,7 @@ from evidra.functions import rules as X
 from evidra.functions import tickets as T
 from evidra.functions import values as V
 from evidra.functions.filters import matches
+from evidra.operators import anonymise as A
 from evidra.operators import blind as B
 from evidra.operators import reranking as K
 
@@ -86,6 +87,16 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", X.masked(F.coalesce("text", F.lit("")), X.personal(F.col("text"))).alias("text"))
 
 
+def anonymised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as answers: users' turns are tickets, assistants' are documents."""
+    c = _t(spark, sf_dir, "conversations")
+    key = F.concat(F.lit("HPC-"), F.col("conv_id"))
+    context = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat_ws("-", key, "turn").alias("doc_id"), F.concat(key, F.lit(": "), "text").alias("text"), F.when(F.col("role") == "user", "tickets").otherwise("docs").alias("source"))
+    answers = c.select("conv_id").distinct().select(F.col("conv_id").alias("query_id"), F.concat(F.lit("See "), key, F.lit(" and (mail of a.b@example.org)")).alias("answer"))
+    told, shown, _ = A.anonymised(answers, context)
+    return shown.select("query_id", "rank", "doc_id", "text").join(told, "query_id")
+
+
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", V.slug(F.col("url")).alias("slug"))
 
@@ -208,7 +219,7 @@ def validity_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", "gate", F.round("final", 6).alias("final"), "place")
 
 
-QUERIES = {f.__name__: f for f in (lifecycle_status, partition_names, module_tokens, versions, scope_families, privacy_flags, normalise_md, normalise_md_b, pii_detect, pii_mask, slugify, error_classes, parse_ts, time_to_resolution, freshness_hint, numeric_coerce, entity_id, map_merge, json_extract, filter_tree, filter_leaf_ops, message_role, rich_text, blind_pivot, validity_rerank)}
+QUERIES = {f.__name__: f for f in (anonymised_answers, lifecycle_status, partition_names, module_tokens, versions, scope_families, privacy_flags, normalise_md, normalise_md_b, pii_detect, pii_mask, slugify, error_classes, parse_ts, time_to_resolution, freshness_hint, numeric_coerce, entity_id, map_merge, json_extract, filter_tree, filter_leaf_ops, message_role, rich_text, blind_pivot, validity_rerank)}
 _D = f"d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_sql_list(TEXTS, 'doc_id, text')})"
 _STRIP = "regexp_replace(regexp_replace(x, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '{0}', '', 'g')"
 _FAMILY = {
@@ -216,6 +227,10 @@ _FAMILY = {
     "ampere": "ampere|a100|default-amp|wilkes3", "pvc": "pvc|dawn", "wbic": "wbic",
 }
 SQL = {
+    # the made texts hold no other values than the keys: of a conversation's tickets' ids the first ones, then the key that all their texts name
+    "anonymised_answers": "WITH c AS (SELECT conv_id, turn, role = 'user' AS ticket, 'HPC-' || conv_id AS key, text, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS n, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), "
+    "k AS (SELECT *, 'TICKET_' || lpad((n + 1)::VARCHAR, 3, '0') AS alias FROM c) SELECT conv_id AS query_id, turn AS rank, CASE WHEN ticket THEN 'TICKET_' || lpad(i::VARCHAR, 3, '0') ELSE key || '-' || turn END AS doc_id, "
+    "CASE WHEN ticket THEN alias ELSE key END || ': ' || text AS text, 'See ' || CASE WHEN n > 0 THEN alias ELSE key END || ' and (mail of a.b@example.org)' AS answer FROM k",
     "lifecycle_status": f"WITH {_D} SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(eol|end[- ]of[- ]life)\\b') THEN 'eol' WHEN regexp_matches(text, '(?i)\\b(legacy|retired|deprecated)\\b') THEN 'legacy' WHEN regexp_matches(text, '(?i)\\bmaintenance\\b') THEN 'maintenance' WHEN regexp_matches(text, '(?i)\\b(current|recommended|supported)\\b') THEN 'current' ELSE 'unknown' END AS status FROM d",
     "partition_names": f"WITH {_D}, p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?im)^[ \\t]*#SBATCH\\s+(?:--partition(?:=|\\s+)|-p\\s+)([A-Za-z0-9][A-Za-z0-9_-]*)', 1)) AS n FROM d UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:sbatch|srun|salloc)\\b[^\\n#]*(?:--partition(?:=|\\s+)|-p\\s+)([A-Za-z0-9][A-Za-z0-9_-]*)', 1)) FROM d UNION SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b([A-Za-z0-9][A-Za-z0-9_-]*-long)\\b', 1)) FROM d) SELECT DISTINCT doc_id, n AS partition_name FROM p WHERE lower(n) NOT IN ('partition', 'partitions', 'queue')",
     "module_tokens": f"WITH {_D}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?im)(?:^|&&|;)\\s*(?:[$]+\\s*)?module\\s+load\\s+((?:[^\\n#;&]|&[^\\n#;&])+)', 1)) AS c FROM d), w AS (SELECT doc_id, unnest(regexp_split_to_array(split_part(c, '&&', 1), '[\\s,]+')) AS t FROM m) SELECT DISTINCT doc_id, trim(t, '`''\"()[]{{}}') AS module FROM w WHERE trim(t, '`''\"()[]{{}}') <> '' AND t NOT LIKE '-%'",
