@@ -13,10 +13,10 @@ def alias_scan(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text: s
 
     Case doesn't count; aliases come out trimmed and in small letters. A literal so bounded has whole tokens only, so
     its first token is one of the text's: these join. Aliases of other than one bare token are then looked for
-    themselves, and those without any token in every text. The aliases are the small side and are sent to all.
+    themselves, and those without any token in every text. Spark sends the aliases to all tasks while its size check allows it.
     """
     a = aliases.select(F.lower(F.regexp_replace(alias, r"^\s+|\s+$", "")).alias("alias")).where("alias <> ''").distinct()
-    a = F.broadcast(a.withColumn("first", F.regexp_extract("alias", TOKEN, 0)))
+    a = a.withColumn("first", F.regexp_extract("alias", TOKEN, 0))
     low = docs.select(F.col(key).alias("key"), F.lower(text).alias("low")).where("low is not null")
     tokens = low.select("key", "low", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("low", F.lit(TOKEN), F.lit(0)), F.array(F.lit(""))))).alias("first"))
     literal = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("alias"), F.lit(r"\E(?![a-z0-9])"))  # small letters hold no \E

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra.sources.shared import shared_folder
 
@@ -16,8 +20,7 @@ K1, B, RRF_K = 1.5, 0.75, 60
 
 def terms(text: Column) -> Column:
     """``[A-Za-z0-9_]+`` runs, lower-cased."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit("[a-z0-9_]+"), F.lit(0))
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)
 
 
 @dataclass(frozen=True)
@@ -54,17 +57,104 @@ def top(df: DataFrame, k: int, query: str, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
+#: Cells of the matrix of asked terms and queries that goes to all tasks, and of a block of documents and terms.
+MATRIX, BLOCK = 1 << 24, 1 << 22
+
+
+def _blocks(p: Postings, weight: Callable, cell: Callable, k: int) -> DataFrame | None:
+    """(query_id, doc_id, score): of every task the ``k`` best documents of each query; None where the queries' matrix is too large.
+
+    A document's asked terms meet all queries in one product of matrices, so its sums are done where it lies and only
+    ``k`` rows a query leave a task. ``weight``: (df, n) of terms to what a term asked once weighs; ``cell``:
+    (tf, dl, avgdl) to what it is worth in a document.
+    """
+    spark = p.tf.sparkSession
+    terms_, queries_ = p.asked.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
+    if terms_ * queries_ > MATRIX:
+        return None
+    stats = p.stats.first()
+    if not stats.n or not terms_:
+        return spark.createDataFrame([], T.StructType([p.asked.schema["query_id"], p.tf.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    df = {r.term: r.df for r in p.df.collect()}  # asked terms that occur
+    rows = [r for r in p.asked.collect() if r.term in df]
+    term = {t: i for i, t in enumerate(sorted(df))}
+    query = sorted({r.query_id for r in rows})
+    at = {q: i for i, q in enumerate(query)}
+    each = weight(np.array([df[t] for t in sorted(df)], float), float(stats.n))
+    matrix = np.zeros((len(term), len(query)))
+    for r in rows:
+        matrix[term[r.term], at[r.query_id]] = r.qtf * each[term[r.term]]
+    avgdl = float(stats.avgdl)
+    shared = spark.sparkContext.broadcast((matrix, term, query))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, index, queries = shared.value
+        size = max(16, BLOCK // max(1, len(index)))
+        best: list[list[tuple[float, str, object]]] = [[] for _ in queries]
+        docs: list = []
+        cells: list[tuple[list, list, list, list]] = []
+
+        def scored() -> None:
+            if not docs:
+                return
+            row, col, tf, dl = (np.concatenate(x) for x in zip(*cells))
+            d = np.zeros((len(docs), len(index)))
+            d[row, col] = cell(tf.astype(float), dl.astype(float), avgdl)
+            found = (d @ m).T
+            for q in range(len(queries)):
+                hit = np.flatnonzero(found[q] > 0)
+                if len(hit) > 4 * k:
+                    least = np.partition(found[q][hit], len(hit) - k)[len(hit) - k] - 1e-5  # what rounds to the same stays
+                    hit = hit[found[q][hit] >= least]
+                best[q] = sorted([*best[q], *((-round(float(found[q][i]), 6), str(docs[i]), docs[i]) for i in hit)], key=lambda x: x[:2])[:k]
+            docs.clear()
+            cells.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("doc_id").to_pylist()
+            place = []
+            for x in ids:  # a document's rows lie together
+                if not docs or docs[-1] != x:
+                    docs.append(x)
+                place.append(len(docs) - 1)
+            cells.append((np.array(place), np.fromiter((index[t] for t in b.column("term").to_pylist()), np.int64, len(ids)), b.column("tf").to_numpy(), b.column("dl").to_numpy()))
+            if len(docs) >= size:
+                last = docs[-1]  # may go on in the next batch
+                row, col, tf, dl = (np.concatenate(x) for x in zip(*cells))
+                stay = row == len(docs) - 1
+                cells[:] = [(row[~stay], col[~stay], tf[~stay], dl[~stay])]
+                docs.pop()
+                scored()
+                docs.append(last)
+                cells.append((np.zeros(int(stay.sum()), np.int64), col[stay], tf[stay], dl[stay]))
+        scored()
+        out = [(q, d, -s) for q, xs in zip(queries, best) for s, _, d in xs]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["query_id", "doc_id", "score"])
+
+    schema = T.StructType([p.asked.schema["query_id"], p.tf.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    kinds = [pa.int64() if f.dataType.typeName() == "long" else pa.int32() if f.dataType.typeName() == "integer" else pa.string() if f.dataType.typeName() == "string" else pa.float64() for f in schema.fields]
+    docs_together = p.tf.select("doc_id", "dl", "term", "tf").repartition("doc_id").sortWithinPartitions("doc_id")
+    return docs_together.mapInArrow(run, schema)
+
+
 def bm25(p: Postings, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank; ties by doc_id as a string.
 
-    Frequencies and queries are joined to each other first: that side has a row for each asked term of a query, which
-    Spark broadcasts while its own size check allows it, so a hot term's postings stay where they are.
+    Where the queries are too many for a matrix, frequencies and queries are joined to each other first: that side has
+    a row for each asked term of a query, which Spark broadcasts while its own size check allows it.
     """
+    order = (F.desc("score"), F.col("doc_id").cast("string"))
+    found = _blocks(p, lambda df, n: np.log(1 + (n - df + 0.5) / (df + 0.5)), lambda tf, dl, avg: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg)), k)
+    if found is not None:
+        return top(found, k, "query_id", *order)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     asked = p.asked.join(p.df, "term").crossJoin(F.broadcast(p.stats))  # one row of statistics
     scored = p.tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * part).alias("score"))
-    return top(scored.withColumn("score", F.round("score", 6)), k, "query_id", F.desc("score"), F.col("doc_id").cast("string"))
+    return top(scored.withColumn("score", F.round("score", 6)), k, "query_id", *order)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -88,8 +178,12 @@ def fused(first: DataFrame, second: DataFrame, weights: tuple[float, float], k:
 
 
 def tfidf(p: Postings, k: int = 10) -> DataFrame:
-    """Sparse dot product of tf-idf weights, as an equi-join on terms."""
+    """Sparse dot product of tf-idf weights; see ``bm25`` for how."""
+    order = (F.desc("score"), F.col("doc_id").cast("string"))
+    found = _blocks(p, lambda df, n: (np.log((n + 1) / (df + 1)) + 1) ** 2, lambda tf, dl, avg: tf, k)
+    if found is not None:
+        return top(found, k, "query_id", *order)
     asked = p.asked.join(p.df, "term").crossJoin(F.broadcast(p.stats))  # one row of statistics
     w = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     scored = p.tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("tf") * F.col("qtf") * w * w), 6).alias("score"))
-    return top(scored, k, "query_id", F.desc("score"), F.col("doc_id").cast("string"))
+    return top(scored, k, "query_id", *order)
