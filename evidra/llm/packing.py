@@ -34,13 +34,14 @@ from evidra.llm.common import table
 WINDOW, END_ID, BUCKET_DOCS = 1024, 0, 4096
 BUCKET_DOCS_IDS = 1024  # where the ids travel with the pieces, a task holds a bucket's ids several times over
 SLICE = 256  # documents whose ids a task holds at once
+WORDS, WORDS_ALONE = 150_000, 400_000  # cached words of a generation, where the ids travel and where they don't
 _UNSURE = re.compile(r"\s \S|\S \s|\s\s")
 
 
 class Ids(dict):
     """Word after a space to its packed ids; two generations of at most ``most`` words bound it."""
 
-    def __init__(self, encode, most: int = 150_000) -> None:
+    def __init__(self, encode, most: int = WORDS) -> None:
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
@@ -69,14 +70,14 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str):
+def encoder(name: str, words: int = WORDS):
     """text to packed little-endian 32-bit ids; a special token's string in a text is that token, as for the library."""
     import public_tokenizers as P
     import tiktoken
 
     ranks, special = vocabulary(P.path(name))
     enc = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    ids = Ids(enc)
+    ids = Ids(enc, words)
     parted = re.compile("|".join(f"({re.escape(t)})" for t in sorted(special, key=len, reverse=True)) or "(?!)")
     packed = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
 
@@ -165,7 +166,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     kind = src.schema["key"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, WORDS if keep_ids else WORDS_ALONE), np.array([end_id], "<u4").tobytes()
         for b in (whole.slice(s, SLICE) for whole in batches for s in range(0, len(whole), SLICE)):
             rows: list[tuple] = []
             at: list[int] = []
