@@ -10,7 +10,8 @@ Records with equal payloads of at least ``least`` bytes: the row with the larges
 response, the others revisit it. Groups are counted before they move; groups with a large share of all
 rows are joined by broadcast (their number is bounded by the share), the others by a hash join.
 
-Defined cases: null html is an empty payload; null urls have no target header; repeated rows are
+Defined cases: null html is an empty payload; null urls have no target header; rows of a null page_id are records
+of an empty id, which revisit a row of equal payload that has one and else are responses; repeated rows are
 written as often as they occur (of equal rows with the largest page_id all are responses); an empty
 table gives an empty result; other columns aren't read.
 """
@@ -45,7 +46,7 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def urn(page: int) -> str:
-    return f"<urn:page:{page}>"
+    return f"<urn:page:{'' if page is None else page}>"
 
 
 def record(page: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -231,7 +232,7 @@ def read_archives(spark: SparkSession, archives: list[tuple[str, str]]) -> DataF
 
 def _row(r: dict) -> dict:
     f = r["fields"]
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda x: int(n) if (n := x.removeprefix("<urn:page:").removesuffix(">")) else None
     digest = f["warc-payload-digest"].removeprefix("sha1:")
     length = int(re.search(r"(?im)^content-length:\s*(\d+)", r["http"])[1])
     if f["warc-type"] == "response" and (len(r["payload"]) != length or base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest):

@@ -28,7 +28,7 @@ def test_damage_is_told():
 def want(rows):
     last = {}
     for p, h in rows:
-        last[h or ""] = max(p, last.get(h or "", p))
+        last[h or ""] = max((x for x in (p, last.get(h or "")) if x is not None), default=None)
     out = []
     for p, h in rows:
         data = (h or "").encode()
@@ -43,7 +43,7 @@ def test_query(spark, sf_dir):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 9), (6, "u", "same"), (6, "u", "same")]
+    rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 9), (6, "u", "same"), (6, "u", "same"), (None, "u", "same"), (None, None, "alone"), (None, None, "alone")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as sha1", "2 as holder")
     df.write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(map(tuple, op7_warc(spark, str(tmp_path)).collect()), key=str) == want([(p, h) for p, _, h in rows])
