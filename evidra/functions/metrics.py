@@ -95,9 +95,9 @@ def standard() -> Registry:
 
 
 def condition_summary(rows: DataFrame, condition: str, failed: Column, registry: Registry, wanted: Sequence[str] | None = None) -> DataFrame:
-    """Of every condition: rows, successes, failures, and the mean of each metric over successful rows, numbers only; null without any."""
+    """Of every condition: rows, successes, failures, and the mean of each metric over its rows, numbers only; null without any."""
     kept, _ = registry.resolve(rows.columns, wanted)
-    number = lambda m: F.when(~F.isnan(F.col(m.name).cast("double")) & ~F.col("__failed"), F.col(m.name).cast("double"))
+    number = lambda m: F.when(~F.isnan(F.col(m.name).cast("double")), F.col(m.name).cast("double"))
     return registry.scored(rows, wanted).withColumn("__failed", F.coalesce(failed, F.lit(False))).groupBy(condition).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("__failed")).alias("success"), F.count_if("__failed").alias("failed"), *[F.avg(number(m)).alias(m.name) for m in kept]
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import metrics as M
+from evidra.operators import analysis as A
 from evidra.operators import reranking as K
 from evidra.operators import splits as S
 from evidra.operators import tuning as U
@@ -83,7 +84,24 @@ def condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("l_returnflag").alias("condition_name"), "n_rows", "success", "failed", *[F.round(c, d).alias(c) for c, d in (("discount", 6), ("tax", 6), ("net", 2))])
 
 
-QUERIES = {f.__name__: f for f in (recall_at_k, ndcg_at_10, condition_summary, tuning_trials, best_trial, anchor_trials, multilabel_split, multilabel_balance)}
+def subgroup_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs' rows: seven labels, of which some cells are blank, by status."""
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    values = [F.col("o_orderpriority"), F.year("o_orderdate").cast("string"), F.when(k % 2 == 0, "yes").otherwise("no"), F.when(k % 3 == 0, " ").otherwise("no"), F.month("o_orderdate").cast("string"), F.when(k % 5 > 0, F.lit(" yes")), (F.col("o_custkey") % 4).cast("string")]
+    rows = o.select("o_orderstatus", "o_totalprice", (F.col("o_totalprice") / 7).alias("score"), *[v.alias(n) for n, v in zip(A.LABELS, values)])
+    out = A.subgroup_means(rows, "o_orderstatus", A.LABELS, ["o_totalprice", "score"])
+    return out.select("o_orderstatus", "label_name", "label_value", "rows", F.round("o_totalprice", 3).alias("price"), F.round("score", 3).alias("score"))
+
+
+def join_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have labels, with them; a document without would stop the query."""
+    labels = _t(spark, sf_dir, "labels")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return A.annotated(docs, labels, "doc_id").select("doc_id", "lang", "benchmark_annotation.quality", "benchmark_annotation.toxic")
+
+
+QUERIES = {f.__name__: f for f in (subgroup_grouping_sets, join_annotations, recall_at_k, ndcg_at_10, condition_summary, tuning_trials, best_trial, anchor_trials, multilabel_split, multilabel_balance)}
 _TRIALS = U.first_trials("core")
 _RANKED = R.SQL["validity_rerank"].partition("\nt AS (")[0]
 _SCORES = f"""{_RANKED}
@@ -96,10 +114,13 @@ _ORDER = "objective DESC, ndcg DESC, recall DESC, authority + scope + status + f
 _NAMED = "authority, scope, status, freshness"
 _LABELLED = "r AS (SELECT l.quality, l.toxic, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)), e AS (UNPIVOT (SELECT lang, source, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM r) ON lang, source, quality, toxic INTO NAME label VALUE value)"
 _FOUND = "h AS (SELECT q.query_id, q.vec_id, q.rank, a.label = b.label AS hit FROM ({dense}) q JOIN embeddings a ON a.vec_id = q.query_id JOIN embeddings b ON b.vec_id = q.vec_id), n AS (SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 GROUP BY 1)".format(dense=Q.SQL["dense_topk"])
+_SEVEN = "o_orderpriority, year(o_orderdate)::VARCHAR, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END, CASE WHEN o_orderkey % 3 > 0 THEN 'no' END, month(o_orderdate)::VARCHAR, CASE WHEN o_orderkey % 5 > 0 THEN 'yes' END, (o_custkey % 4)::VARCHAR"
 SQL = {
+    "subgroup_grouping_sets": f"WITH r AS (SELECT o_orderstatus, o_totalprice, unnest(['__all__', {', '.join(repr(n) for n in A.LABELS)}]) AS label_name, unnest(['all', {_SEVEN}]) AS label_value FROM orders) SELECT o_orderstatus, label_name, label_value, count(*) AS rows, round(avg(o_totalprice), 3) AS price, round(avg(o_totalprice / 7), 3) AS score FROM r WHERE label_value IS NOT NULL GROUP BY 1, 2, 3",
+    "join_annotations": "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id",
     "recall_at_k": f"WITH {_FOUND} SELECT query_id, round(count_if(hit AND rank <= 5) / any_value(n), 9) AS recall FROM n LEFT JOIN h USING (query_id) GROUP BY 1",
     "ndcg_at_10": f"WITH {_FOUND} SELECT query_id, round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= 10), 0) / list_sum(list_transform(range(1, (least(any_value(n), 10) + 1)::BIGINT), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM n LEFT JOIN h USING (query_id) GROUP BY 1",
-    "condition_summary": "SELECT l_returnflag AS condition_name, count(*) AS n_rows, count_if(l_linestatus = 'F') AS success, count_if(l_linestatus <> 'F') AS failed, round(avg(l_discount) FILTER (WHERE l_linestatus = 'F'), 6) AS discount, round(avg(l_tax) FILTER (WHERE l_linestatus = 'F'), 6) AS tax, round(avg(l_extendedprice * (1 - l_discount)) FILTER (WHERE l_linestatus = 'F'), 2) AS net FROM lineitem GROUP BY 1",
+    "condition_summary": "SELECT l_returnflag AS condition_name, count(*) AS n_rows, count_if(l_linestatus = 'F') AS success, count_if(l_linestatus <> 'F') AS failed, round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax, round(avg(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY 1",
     "tuning_trials": f"{_SCORES} SELECT * FROM s",
     "best_trial": f"{_SCORES} SELECT {_NAMED} FROM s ORDER BY {_ORDER} LIMIT 1",
     "anchor_trials": f"{_SCORES}, firsts AS (SELECT *, row_number() OVER (PARTITION BY authority, scope, status ORDER BY objective DESC, ndcg DESC, {_ORDER}) AS i FROM s) SELECT {_NAMED} FROM firsts WHERE i = 1 ORDER BY objective DESC, ndcg DESC, {_ORDER} LIMIT 2",

@@ -89,11 +89,6 @@ def dup_ids(d):
 # --- joins
 
 
-@plan
-def join_annotations(d):
-    return "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
-
-
 @plan
 def validate_labels(d):
     return "SELECT d.doc_id AS id, 'missing_annotation' AS problem FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL UNION ALL SELECT l.doc_id, 'unknown_id' FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL UNION ALL SELECT doc_id, 'duplicate_id' FROM labels GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'toxic_but_good' FROM labels WHERE toxic = 1 AND quality = 1"
@@ -191,11 +186,6 @@ def composition_summary(d):
     return "SELECT count(*) AS total, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(quality = 1 AND toxic = 1) AS both_, count_if(lang = 'en' AND quality = 0) AS english_bad FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
 
 
-@plan
-def subgroup_grouping_sets(d):
-    return "SELECT l_returnflag, coalesce(l_linestatus, '__all__') AS linestatus, coalesce(cast(l_linenumber as varchar(9)), '__all__') AS linenumber, count(*) AS n, round(avg(l_quantity), 6) AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus), (l_returnflag, l_linenumber))"
-
-
 @plan
 def source_distribution(d):
     return "SELECT turn, role, n, cast(sum(n) OVER (PARTITION BY turn) as bigint) AS total, round(n / cast(sum(n) OVER (PARTITION BY turn) as double), 6) AS proportion FROM (SELECT turn, coalesce(nullif(role, ''), 'unknown') AS role, count(*) AS n FROM conversations GROUP BY turn, coalesce(nullif(role, ''), 'unknown')) x"
