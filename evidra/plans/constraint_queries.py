@@ -86,9 +86,12 @@ q AS (
   FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 JOIN part ON p_partkey = o_custkey % 200 JOIN region ON r_regionkey = n_regionkey
   UNION ALL SELECT query_id, text FROM {_sql_list(QUESTIONS, 'query_id, text')}
 ),
+u AS MATERIALIZED (SELECT text, lower(text) AS low FROM q GROUP BY 1),
+uh AS MATERIALIZED (SELECT text, low, alias FROM u JOIN (SELECT DISTINCT alias FROM g) k ON contains(low, alias)),
 h AS (
-  SELECT query_id, text, alias, length(regexp_extract(lower(text), '(?s)^(.*?(?:^|[^a-z0-9]))' || regexp_escape(alias) || '(?:[^a-z0-9]|$)', 1)) AS p
-  FROM q JOIN g ON contains(lower(text), alias) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(alias) || '([^a-z0-9]|$)')
+  SELECT query_id, text, alias, p FROM q JOIN (
+    SELECT text, alias, length(regexp_extract(low, '(?s)^(.*?(?:^|[^a-z0-9]))' || regexp_escape(alias) || '(?:[^a-z0-9]|$)', 1)) AS p
+    FROM uh WHERE regexp_matches(low, '(^|[^a-z0-9])' || regexp_escape(alias) || '([^a-z0-9]|$)')) USING (text)
 ),
 w AS (SELECT h.*, n, scope, tools, substr(text, greatest(p - 28, 0) + 1, p + length(alias) + 28 - greatest(p - 28, 0)) AS near, substr(text, greatest(p - 32, 0) + 1, p + length(alias) + 32 - greatest(p - 32, 0)) AS wide FROM h JOIN g USING (alias)),
 r AS (
@@ -110,9 +113,11 @@ SQL = {
     "alias_context": f"WITH {_REGISTRY} SELECT r.query_id, r.alias, reading, coalesce((SELECT string_agg(id, '|' ORDER BY id) FROM m WHERE m.query_id = r.query_id AND m.alias = r.alias), '') AS entity_ids, "
     "coalesce((SELECT string_agg(DISTINCT f, '|' ORDER BY f) FROM zf WHERE zf.query_id = r.query_id AND zf.alias = r.alias), '') AS families FROM r",
     "query_constraints": f"""WITH {_REGISTRY},
+kv AS (SELECT DISTINCT unnest(v) AS v FROM e),
+ov AS (SELECT text, list(v) AS held FROM (SELECT text, v FROM u JOIN kv ON contains(text, v)) WHERE regexp_matches(text, '(^|[^A-Za-z0-9])' || regexp_escape(v) || '([^A-Za-z0-9]|$)') GROUP BY 1),
 o AS (
-  SELECT query_id, text, list_concat(regexp_extract_all(text, '\\b[0-9]+[.][0-9]+(?:[.][0-9]+)?(?:[.][0-9]+)?(?:[-+_][A-Za-z0-9][A-Za-z0-9.+_-]*)?\\b'), (SELECT coalesce(list(v), []) FROM (SELECT DISTINCT unnest(v) AS v FROM e) k WHERE regexp_matches(text, '(^|[^A-Za-z0-9])' || regexp_escape(v) || '([^A-Za-z0-9]|$)'))) AS observed
-  FROM q
+  SELECT query_id, text, list_concat(regexp_extract_all(text, '\\b[0-9]+[.][0-9]+(?:[.][0-9]+)?(?:[.][0-9]+)?(?:[-+_][A-Za-z0-9][A-Za-z0-9.+_-]*)?\\b'), coalesce(held, [])) AS observed
+  FROM q LEFT JOIN ov USING (text)
 ),
 t AS (SELECT query_id, unnest(string_split(regexp_extract(text, '(?im)^\\s*module\\s+load\\s+([^\\n#;]+)', 1), ' ')) AS token FROM q),
 c AS (

@@ -109,7 +109,7 @@ w AS (SELECT * FROM (VALUES {", ".join(str((i, t["authority"], t["scope"], t["st
 t AS (SELECT trial, query_id, id, kind = 'economy' AS hit, row_number() OVER (PARTITION BY trial, query_id ORDER BY base + wa::DOUBLE * a + ws::DOUBLE * sc + wt::DOUBLE * st + wf::DOUBLE * fr DESC, base DESC, base_rank, id) AS place FROM h, w),
 q AS (SELECT trial, query_id, count_if(hit) AS n, count_if(hit AND place <= 5) AS got, sum(CASE WHEN hit AND place <= 5 THEN 1 / log2(place + 1) ELSE 0 END) AS dcg FROM t GROUP BY 1, 2 HAVING count_if(hit) > 0),
 m AS (SELECT trial, count(*) AS prepared_rows, avg(got / n) AS recall, avg(dcg / list_sum(list_transform(range(1, (least(n, 5) + 1)::BIGINT), lambda i: 1 / log2(i + 1)))) AS ndcg FROM q GROUP BY 1),
-s AS (SELECT trial, wa::DOUBLE AS authority, ws::DOUBLE AS scope, wt::DOUBLE AS status, wf::DOUBLE AS freshness, prepared_rows, round(recall, 9) AS recall, round(ndcg, 9) AS ndcg, round((recall + ndcg) / 2, 9) AS objective FROM m JOIN w USING (trial))"""
+s AS (SELECT trial::BIGINT AS trial, wa::DOUBLE AS authority, ws::DOUBLE AS scope, wt::DOUBLE AS status, wf::DOUBLE AS freshness, prepared_rows, round(recall, 9) AS recall, round(ndcg, 9) AS ndcg, round((recall + ndcg) / 2, 9) AS objective FROM m JOIN w USING (trial))"""
 _ORDER = "objective DESC, ndcg DESC, recall DESC, authority + scope + status + freshness, authority DESC, freshness DESC, scope DESC, status DESC"
 _NAMED = "authority, scope, status, freshness"
 _LABELLED = "r AS (SELECT l.quality, l.toxic, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)), e AS (UNPIVOT (SELECT lang, source, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM r) ON lang, source, quality, toxic INTO NAME label VALUE value)"

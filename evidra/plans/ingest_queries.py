@@ -45,12 +45,13 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the first page of each language, four links deep. A page is known by the first word of its menu: links with this word lead to it."""
+    """From the first page of each language, four links deep. A word of a menu leads to the first page that has it there, every second one to the last."""
     pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), U.hrefs(F.col("html")).alias("h"))
     name = lambda c: F.concat(F.lit("https://site.example/p/"), c.cast("string"))
-    known = pages.where(F.size("h") > 0).groupBy(F.col("h")[0].alias("word")).agg(F.min("page_id").alias("to"))
-    links = pages.select("page_id", F.posexplode("h").alias("pos", "word")).join(known, "word")
-    links = links.groupBy(name(F.col("page_id")).alias("page"), name(F.col("to")).alias("link")).agg(F.min("pos").alias("pos"))
+    words = pages.select("page_id", F.posexplode("h").alias("pos", "word"))
+    known = words.groupBy("word").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
+    to = F.when(F.col("pos") % 2 == 0, F.col("low")).otherwise(F.col("high"))
+    links = words.join(known, "word").groupBy(name(F.col("page_id")).alias("page"), name(to).alias("link")).agg(F.min("pos").alias("pos"))
     home = pages.groupBy(F.col("lang").alias("source")).agg(name(F.min("page_id")).alias("home"), F.lit(4).alias("max_depth"), F.lit(1 << 30).alias("max_pages"))
     return C.internal_crawl(links.select("page", "pos", "link"), home).select("source", "link", "depth")
 
@@ -121,8 +122,8 @@ SQL = {
     "url_canonical": f"SELECT page_id, {_CANON} AS canonical FROM (SELECT page_id, trim(url) AS u FROM pages)",
     "page_links": f"WITH p AS (SELECT url, {_CANON} AS page, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) AS own, regexp_extract_all(html, {_HREF}) AS h FROM (SELECT url, html, trim(url) AS u FROM pages)), "
     f"l AS (SELECT page, 0 AS pos, page AS link FROM p UNION ALL SELECT page, pos, {_CANON} FROM (SELECT page, own || h[i] AS u, i AS pos FROM (SELECT page, own, h, unnest(range(1, len(h) + 1))::INT AS i FROM p))) SELECT page, min(pos) AS pos, link FROM l GROUP BY page, link",
-    "page_crawl": f"WITH RECURSIVE p AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract_all(html, {_HREF}) AS h FROM pages), k AS (SELECT h[1] AS word, min(page_id) AS page_id FROM p WHERE len(h) > 0 GROUP BY 1), "
-    "l AS (SELECT DISTINCT p.page_id AS a, k.page_id AS b FROM (SELECT page_id, unnest(h) AS word FROM p) p JOIN k USING (word)), home AS (SELECT lang, min(page_id) AS a FROM p GROUP BY 1), "
+    "page_crawl": f"WITH RECURSIVE p AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract_all(html, {_HREF}) AS h FROM pages), w AS (SELECT page_id, unnest(h) AS word, unnest(range(len(h))) AS i FROM p), k AS (SELECT word, min(page_id) AS low, max(page_id) AS high FROM w GROUP BY 1), "
+    "l AS (SELECT DISTINCT page_id AS a, CASE WHEN i % 2 = 0 THEN low ELSE high END AS b FROM w JOIN k USING (word)), home AS (SELECT lang, min(page_id) AS a FROM p GROUP BY 1), "
     "walk(lang, a, d) AS (SELECT lang, a, 0 FROM home UNION SELECT lang, l.b, d + 1 FROM walk JOIN l ON l.a = walk.a WHERE d < 4), visited AS (SELECT lang, a, min(d) AS d FROM walk GROUP BY 1, 2), "
     "met AS (SELECT lang, b, min(d) AS d FROM visited JOIN l USING (a) GROUP BY 1, 2 UNION ALL SELECT lang, a, d FROM visited WHERE a NOT IN (SELECT a FROM l) UNION ALL SELECT lang, a, -1 FROM home) "
     "SELECT lang AS source, 'https://site.example/p/' || b AS link, coalesce(min(d) FILTER (WHERE d >= 0), -1) AS depth FROM met GROUP BY 1, 2",
