@@ -67,10 +67,10 @@ def literal_hits(queries: DataFrame, literals: DataFrame) -> DataFrame:
     """
     first = lambda x: F.regexp_extract(x, ANCHOR, 0)
     lit = literals.select(F.col(literals.columns[0]).alias("literal")).distinct().withColumn("anchor", first(F.col("literal")))
-    tokens = queries.select("query_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ANCHOR), F.lit(0)))).alias("anchor"))
+    tokens = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ANCHOR), F.lit(0)))).alias("anchor"))
     quoted = F.concat(F.lit(r"\Q"), F.replace("literal", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     bounded = F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
-    found = tokens.join(lit, "anchor").withColumn("pattern", bounded).where(F.rlike("text", F.concat(F.lit("(?iu)"), "pattern")))
+    found = tokens.join(lit, "anchor").join(queries.select("query_id", "text"), "query_id").withColumn("pattern", bounded).where(F.rlike("text", F.concat(F.lit("(?iu)"), "pattern")))
     return found.select("query_id", "literal", "text", F.expr("char_length(regexp_extract(text, concat('(?isu)^(.*?)', pattern), 1))").alias("at"))
 
 

@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+
+from evidra.operators import aliases
 from evidra.operators.aliases import alias_scan
 from evidra.plans.registry import QUERIES
 
@@ -14,7 +17,9 @@ def loop(text, aliases):
     return {a.lower() for a in names if re.search(rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])", text or "", re.IGNORECASE)}
 
 
-def test_like_a_regex_loop(spark):
+@pytest.mark.parametrize("sent", [8 << 20, 0])
+def test_like_a_regex_loop(spark, sent, monkeypatch):
+    monkeypatch.setattr(aliases, "SENT", sent)
     rng = random.Random(1)
     parts = [a for a in ALIASES if a] + ["nation_77", "gpu  node", "GPU Node", "v2", "1", "open", "mpi", "x", "a", "b", "c+", "net", "Nation_1", "é"]
     texts = ["see nation_7.", "nation_71 xnation_7 nation 7", "a GPU NODE here", None, ""]
