@@ -106,15 +106,20 @@ def personal(text: Column, ids: Column | None = None) -> Column:
     groups = {prefix: [k for k in PERSONAL if PREFIX.get(k, k) == prefix] for prefix in dict.fromkeys(PREFIX.get(k, k) for k in PERSONAL)}
     none = F.array().cast("array<string>")
     known = F.array_distinct(F.filter(F.transform(F.coalesce(ids, none), lambda v: F.trim(v)), lambda v: v != "")) if ids is not None else none
-    seen, out = known, F.array().cast("array<struct<value:string,alias:string>>")
-    for prefix, kinds in groups.items():
-        values = F.concat(*[F.transform(found(text, PERSONAL[k], int(k in GROUPED)), lambda v: F.trim(v)) for k in kinds])
-        fresh = F.array_except(F.filter(values, lambda v: (v != "") & ~v.rlike(VISIBLE)), seen)
-        placed = F.transform(F.array_sort(F.transform(fresh, lambda v, i: F.struct(F.instr(text, v).alias("at"), i.alias("i"), v.alias("v")))), lambda x: x["v"])
-        ordered = F.concat(known, placed) if prefix == "TICKET" else placed
-        out = F.concat(out, F.transform(ordered, lambda v, i: F.struct(v.alias("value"), F.format_string(prefix + "_%03d", i + 1).alias("alias"))))  # noqa: B023
-        seen = F.concat(seen, values)
-    return out
+    # every kind's values are found once, then named
+    raw = F.struct(text.alias("text"), known.alias("known"), *[F.concat(*[F.transform(found(text, PERSONAL[k], int(k in GROUPED)), lambda v: F.trim(v)) for k in kinds]).alias(prefix) for prefix, kinds in groups.items()])
+
+    def named(r: Column) -> Column:
+        seen, out = r["known"], F.array().cast("array<struct<value:string,alias:string>>")
+        for prefix in groups:
+            fresh = F.array_except(F.filter(r[prefix], lambda v: (v != "") & ~v.rlike(VISIBLE)), seen)
+            placed = F.transform(F.array_sort(F.transform(fresh, lambda v, i: F.struct(F.instr(r["text"], v).alias("at"), i.alias("i"), v.alias("v")))), lambda x: x["v"])
+            ordered = F.concat(r["known"], placed) if prefix == "TICKET" else placed
+            out = F.concat(out, F.transform(ordered, lambda v, i: F.struct(v.alias("value"), F.format_string(prefix + "_%03d", i + 1).alias("alias"))))  # noqa: B023
+            seen = F.concat(seen, r[prefix])
+        return out
+
+    return F.element_at(F.transform(F.array(raw), named), 1)
 
 
 def masked(text: Column, aliases: Column) -> Column:
