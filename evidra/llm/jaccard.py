@@ -12,10 +12,10 @@ signatures are sent (two sets that agree in one agree in one of these). Sets wit
 for the guarantee sign the whole domain too and, if that is still too little, their empty parts.
 
 Sets that share a signature become candidates: all pairs in a group of a few, else a star around one
-centre. A bound from 256 counts per set prunes pairs, and the rest are verified on their whole texts.
-Larger groups whose members then lie in several components are searched again across components, in blocks
-of whole sets, and only links that join two components are given out: no link is lost, and rows grow with
-the sets, not with their pairs. Equal sets are one class from the start.
+centre. A bound from counts of a set's shingles prunes pairs, and the rest are verified on their whole texts.
+Larger groups whose members then lie in several components are searched again across components, by counts and
+then in blocks of whole sets, and only links that join two components are given out: no link is lost, and rows
+grow with the sets, not with their pairs. Equal sets are one class from the start.
 
 Shingles and sets are compared by 64-bit hashes. Defined cases: texts without words (null, empty) have an
 empty set and link with nothing, not even each other; repeated rows belong to one component; rows whose key
@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm.common import own_names, partitions, split_by_ids, table, written
@@ -39,8 +40,12 @@ from evidra.llm.shingles import mixed, shingle_set
 
 U = np.uint64
 CELLS, ALL_PAIRS, CENTRES = 256, 8, 1
+#: Counts compared at once.
+AT_ONCE = 4_000_000
 #: Sets, and shingles of all of them, that a task of the search across components holds on either side, on average.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Those of which a task before it holds the counts.
+NEAR_BLOCK, NEAR_SHINGLES = 8192, 8_000_000
 #: Shingles of all documents for each bucket of signatures; a set sends about a third as many signatures.
 BUCKET_SHINGLES = 12_000_000
 #: A shingle in this share of all documents (and in 64 at least) is frequent: at most mean set size / share of them.
@@ -67,8 +72,12 @@ def set_class(s: np.ndarray) -> int:
 
 
 def cells(s: np.ndarray) -> bytes:
-    """Counts of shingles by hash; their differences bound from below in how many shingles two sets differ."""
-    return np.minimum(np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """Counts of shingles by hash; their differences bound from below in how many shingles two sets differ.
+
+    At most four shingles to a count on average: with more, chance alone evens out the counts of any two long sets.
+    """
+    width = max(CELLS, 1 << (-(-len(s) // 4) - 1).bit_length())
+    return np.minimum(np.bincount((s & U(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
 
 
 def _signed(s: np.ndarray, n: int, band: int, larger: bool, whole: int) -> tuple[np.ndarray, bool]:
@@ -249,15 +258,42 @@ def _groups(sent: DataFrame, buckets: int) -> DataFrame:
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, gid long, members binary")
 
 
+def _folded(c: np.ndarray, width: int) -> np.ndarray:
+    """Counts as a set of fewer of them has them."""
+    return c if c.shape[1] == width else np.minimum(c.reshape(len(c), -1, width).sum(1, dtype=np.int64), 255)
+
+
 def possible(na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether sizes and counts leave room for a link, and by how many shingles the sets differ at least.
 
-    Linked pairs differ in (na + nb) / 7 shingles at most.
+    Linked pairs differ in (na + nb) / 7 shingles at most. A side has as many counts in all its rows.
     """
-    apart = np.abs(ca.astype(np.int16) - cb.astype(np.int16)).sum(1, dtype=np.int64)
+    width = min(ca.shape[1], cb.shape[1])
+    apart = np.abs(_folded(ca, width).astype(np.int16) - _folded(cb, width).astype(np.int16)).sum(1, dtype=np.int64)
     return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * apart <= na + nb), apart
 
 
+class Counts:
+    """Counts of many sets, those of one width as a matrix."""
+
+    def __init__(self, n: np.ndarray, blobs: list[bytes]) -> None:
+        self.n, self.width = n, np.array([len(x) for x in blobs], np.int64)
+        self.row, self.of = np.zeros(len(blobs), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.of[w] = np.frombuffer(b"".join([blobs[i] for i in at]), np.uint8).reshape(len(at), w)
+
+    def room(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``possible`` of x with each of y."""
+        ok, apart = np.zeros(len(y), bool), np.zeros(len(y), np.int64)
+        own = self.of[int(self.width[x])][self.row[x]][None]
+        for w in np.unique(self.width[y]).tolist():
+            at = np.flatnonzero(self.width[y] == w)
+            ok[at], apart[at] = possible(np.full(len(at), self.n[x]), self.n[y[at]], own, self.of[w][self.row[y[at]]])
+        return ok, apart
+
+
 def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("class").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b").select("rep_a", "rep_b", "n_a", "n_b", "cells_a", "cells_b")
@@ -265,8 +301,16 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = len(b)
-            mat = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(k, CELLS) for c in ("cells_a", "cells_b")]
-            ok = possible(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), *mat)[0] if k else np.zeros(0, bool)
+            n = [b.column(c).to_numpy() for c in ("n_a", "n_b")]
+            col = [b.column(c) for c in ("cells_a", "cells_b")]
+            wide = np.stack([pc.binary_length(c).to_numpy().astype(np.int64) for c in col], 1)
+            ok = np.zeros(k, bool)
+            for w in np.unique(wide, axis=0):
+                every, step = np.flatnonzero((wide == w).all(1)), max(1, AT_ONCE // int(w.max()))
+                for s in range(0, len(every), step):
+                    at = every[s : s + step]
+                    mat = [np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), x) for c, x in zip(col, w)]
+                    ok[at] = possible(n[0][at], n[1][at], *mat)[0]
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([b.column(c).take(keep) for c in ("rep_a", "rep_b")], names=["a", "b"])
 
@@ -276,8 +320,8 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, src: DataFrame) -> DataFrame:
     """Those pairs of doc_ids that link, by their whole texts. Only texts that may be needed are moved."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    need, _ = split_by_ids(src, ids, "doc_id")
-    need = written(need.dropDuplicates(["doc_id", "text"]), "jaccard-texts")
+    need = written(split_by_ids(src, ids, "doc_id")[0], "jaccard-texts")
+    need = need.repartition("doc_id").dropDuplicates(["doc_id", "text"])  # in the partitions that the joins use
     one = lambda x: need.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     wide = pairs.join(one("a"), "a").join(one("b"), "b")
 
@@ -312,6 +356,47 @@ def _sets(src: DataFrame, ids: DataFrame) -> DataFrame:
     return written(need.select("doc_id", "text").mapInArrow(run, "class long, rep long, shingles binary").dropDuplicates(["class"]), "jaccard-sets")
 
 
+def _near(unit: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``unit`` that may link with one of another component, by sizes and counts: only their whole sets are moved."""
+    asks = F.col("component") != F.col("main")
+    asked, asking = _dealt(_sized(unit, asks, NEAR_BLOCK, NEAR_SHINGLES).join(classes.select("class", "cells"), "class"), asks, ["class", "n", "component", "cells"])
+
+    def search(pdf):
+        n, name, asking = (pdf[c].to_numpy() for c in ("n", "component", "asks"))
+        counts = Counts(n, list(pdf["cells"]))
+        order = np.argsort(n, kind="stable")
+        asked = order[~asking[order]]
+        sizes = n[asked]
+        near = np.zeros(len(pdf), bool)
+        for x in order[asking[order]].tolist():
+            lo, hi = np.searchsorted(sizes, [-(-3 * n[x] // 4), 4 * n[x] // 3 + 1])
+            y = asked[lo:hi]
+            y = y[(name[y] != name[x]) & ~(near[x] & near[y])]
+            y = y[counts.room(x, y)[0]]
+            near[y] = True
+            near[x] |= len(y) > 0
+        return pdf.loc[near, ["main", "class"]]
+
+    found = asked.unionByName(asking).groupBy("main", "block", "slice").applyInPandas(search, "main long, class long").distinct()
+    return unit.join(found, ["main", "class"])
+
+
+def _sized(unit: DataFrame, asks: Column, sets: int, shingles: int) -> DataFrame:
+    """Adds the numbers of blocks and slices of each main component."""
+    parts = lambda who: F.ceil(F.greatest(F.sum(F.when(who, 1)) / sets, F.sum(F.when(who, F.col("n"))) / shingles)).cast("int")
+    return unit.join(unit.groupBy("main").agg(parts(F.lit(True)).alias("blocks"), parts(asks).alias("slices")), "main")
+
+
+def _dealt(wide: DataFrame, asks: Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows by main component, block and slice: all are asked, each in a block, by all slices; those that ask lie in a slice and ask all blocks."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
+    to = ["main", "block", "slice", "asks", *columns]
+    asked = wide.where("slices is not null").select("*", own("blocks", 0).alias("block"), every("slices").alias("slice"), F.lit(False).alias("asks")).select(*to)
+    asking = wide.where(asks).select("*", every("blocks").alias("block"), own("slices", 1).alias("slice"), F.lit(True).alias("asks")).select(*to)
+    return asked, asking
+
+
 def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFrame) -> DataFrame:
     """Links (a, b) between the names of components that meet in a group, one for two components that link.
 
@@ -320,6 +405,7 @@ def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFra
     A group that meets one component only is done. Each other group goes to its main component, the one with
     most members there, and a component's groups are one search: a set is moved to it once, however many of the
     groups hold it. Sets of other components ask; all sets are asked, since two of the main one need no link.
+    Counts are moved before whole sets, which follow where counts leave room for a link.
     The asked lie in blocks and the asking in slices of some thousand sets, so no task holds a whole component.
     """
 
@@ -336,22 +422,17 @@ def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFra
     most = rows.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("gid").agg(F.max(F.struct("held", "component")).alias("most"), F.count(F.lit(1)).alias("met"))
     main = most.where("met > 1").select("gid", F.col("most.component").alias("main"))
     unit = written(rows.join(main, "gid").select("main", "class", "rep", "n", "component").distinct(), "jaccard-search")
+    unit = written(_near(unit, classes), "jaccard-near")
     asks = F.col("component") != F.col("main")
-    parts = lambda who: F.ceil(F.greatest(F.sum(F.when(who, 1)) / BLOCK, F.sum(F.when(who, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
-    size = unit.groupBy("main").agg(parts(F.lit(True)).alias("blocks"), parts(asks).alias("slices"))
-    wide = unit.join(size, "main").join(_sets(src, unit.select("rep").distinct()).select("class", "shingles"), "class")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
-    to = ["main", "block", "slice", "asks", "rep", "component", "shingles"]
-    asked = wide.select("*", own("blocks", 0).alias("block"), every("slices").alias("slice"), F.lit(False).alias("asks")).select(*to)
-    asking = wide.where(asks).select("*", every("blocks").alias("block"), own("slices", 1).alias("slice"), F.lit(True).alias("asks")).select(*to)
+    wide = _sized(unit, asks, BLOCK, BLOCK_SHINGLES).join(_sets(src, unit.select("rep").distinct()).select("class", "shingles"), "class")
+    asked, asking = _dealt(wide, asks, ["rep", "component", "shingles"])
 
     def search(pdf):
         import pandas as pd
 
         sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
         n = np.array([len(x) for x in sets])
-        cel = np.frombuffer(b"".join([cells(x) for x in sets]), np.uint8).reshape(len(sets), CELLS)
+        counts = Counts(n, [cells(x) for x in sets])
         rep, name, asking = (pdf[c].to_numpy() for c in ("rep", "component", "asks"))
         comp_of = name.copy()
         order = np.lexsort((rep, n))  # by size, so a set's partners lie together
@@ -362,7 +443,7 @@ def _across(groups: DataFrame, classes: DataFrame, comp: DataFrame, src: DataFra
             lo, hi = np.searchsorted(sizes, [-(-3 * n[x] // 4), 4 * n[x] // 3 + 1])
             y = asked[lo:hi]
             y = y[comp_of[y] != comp_of[x]]
-            ok, apart = possible(np.full(len(y), n[x]), n[y], np.broadcast_to(cel[x], (len(y), CELLS)), cel[y])
+            ok, apart = counts.room(x, y)
             y = y[ok]
             for j in y[np.argsort(apart[ok], kind="stable")].tolist():
                 if comp_of[j] != comp_of[x] and linked(len(np.intersect1d(sets[x], sets[j], assume_unique=True)), n[x], n[j]):

@@ -136,3 +136,28 @@ def test_odd_tables(spark):
     assert rows == [(1, 0, 1), (3, 2, 3), (7, 2, 3), (7, 2, 3)]
     assert J.jaccard_components(df.limit(0)).count() == 0
     assert len(shingle_set(b"one two")) == 1
+
+
+def test_counts_tell_long_sets_apart():
+    """Long unlike sets of a size are pruned by their counts, before their texts are moved; linked ones are not."""
+    rng = np.random.default_rng(5)
+    for n, m in ((5000, 5000), (8000, 8400), (20_000, 19_000)):
+        a, b = (np.unique(rng.integers(0, 1 << 64, k, dtype=np.uint64)) for k in (n, m))
+        ca, cb = (np.frombuffer(J.cells(x), np.uint8)[None] for x in (a, b))
+        assert not J.possible(np.array([n]), np.array([m]), ca, cb)[0].any()
+        near = np.unique(np.concatenate([a[rng.permutation(n)[: int(0.9 * n)]], b[: n // 40]]))
+        assert J.linked(len(np.intersect1d(a, near)), n, len(near))
+        assert J.possible(np.array([n]), np.array([len(near)]), ca, np.frombuffer(J.cells(near), np.uint8)[None])[0].all()
+
+
+def test_whole_sets_are_moved_only_where_counts_leave_room(spark, monkeypatch):
+    """Documents that share a passage but are else unlike meet in a group; none of their sets is moved to be searched."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [(d, " ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + passage)) for d in range(40)]
+    moved = []
+    real = J._sets
+    monkeypatch.setattr(J, "_sets", lambda src, ids: moved.append(ids.count()) or real(src, ids))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()} == brute(texts)
+    assert moved == [0]
