@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,14 +159,111 @@ def bm25(p: Postings, k: int = 10) -> DataFrame:
     return top(scored.withColumn("score", F.round("score", 6)), k, "query_id", *order)
 
 
+#: Vectors and queries that meet in one task, and cells of a product of theirs that are held at once.
+SLICE, ASKED, PRODUCT = 1 << 13, 1 << 13, 1 << 20
+
+
+def _rows(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length of vectors without nulls: their rows, the vectors as a matrix and their norms, summed in the order of the components."""
+    a = column.combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    size = pc.list_value_length(a).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+    values, parent = pc.list_flatten(a).cast(pa.float64()), pc.list_parent_indices(a).to_numpy()
+    holes = pc.is_null(values).to_numpy(zero_copy_only=False)
+    size[parent[holes]] = -1
+    flat, first = values.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=len(a)))])
+    out = {}
+    for n in np.unique(size[size >= 0]).tolist():
+        at = np.flatnonzero(size == n)
+        m = flat[first[at][:, None] + np.arange(n)]
+        norm = np.zeros(len(at))
+        for i in range(n):
+            norm += m[:, i] * m[:, i]
+        out[n] = (at, m, np.sqrt(norm))
+    return out
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six digits, halves up in decimal, as Spark rounds."""
+    scaled = x * 1e6
+    out = np.rint(scaled) / 1e6
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out
+
+
+def _nearest(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, vectors, scores, which have none) by row: of each query the ``k`` best of these vectors, equal ones by id.
+
+    A product of matrices leaves out what is below the k-th best by more than rounding; the others are summed in order.
+    """
+    mine, asked = _rows(left.column("v")), _rows(right.column("q"))
+    ids, queries = left.column("id").to_numpy(), right.column("query_id").to_numpy()
+    place = np.unique(ids, return_inverse=True)[1]
+    none_at = np.zeros(0, np.int64)
+    parts = [(n, at) for n, (at, _, _) in asked.items()]
+    parts.append((None, np.setdiff1d(np.arange(len(queries)), np.concatenate([none_at, *(at for _, at in parts)]))))
+    step = max(1, PRODUCT // len(ids))
+    for n, rows in parts:
+        at, m, norm = mine.get(n, (none_at, None, None))
+        for s in range(0, len(rows), step):
+            some = rows[s : s + step]
+            key = np.full((len(some), len(ids)), -np.inf)  # no score: behind all others
+            if len(at):
+                q, qn = asked[n][1][s : s + step], asked[n][2][s : s + step]
+                score = (q @ m.T) / (qn[:, None] * norm)
+                score[np.isnan(score)] = np.inf  # not a number: before all others
+                key[:, at] = score
+            key[queries[some][:, None] == ids] = -np.inf
+            least = np.partition(key, len(ids) - k, axis=1)[:, [len(ids) - k]] - 2e-6 if len(ids) > k else -np.inf
+            i, j = np.nonzero(key >= least)
+            other = queries[some][i] != ids[j]
+            i, j = i[other], j[other]
+            value, none = np.zeros(len(i)), np.ones(len(i), bool)
+            if len(at):
+                where = np.full(len(ids), -1)
+                where[at] = np.arange(len(at))
+                none = where[j] < 0
+                a, b = np.where(none, 0, where[j]), i
+                for c in range(n):
+                    value += m[a, c] * q[b, c]
+                value = value / (norm[a] * qn[b])
+            nan = np.isnan(value) & ~none
+            order = np.lexsort((place[j], np.where(nan | none, 0, -_rounded(np.where(nan, 0, value))), np.where(none, 2, np.where(nan, 0, 1)), i))
+            i, j, value, none = i[order], j[order], value[order], none[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield some[i[keep]], j[keep], value[keep], none[keep]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(id, v) against the stated queries (query_id, q) by cosine. The queries are the broadcast side only while Spark's size check allows it."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    left = vectors.select("id", F.col("v").cast("array<double>").alias("v")).withColumn("vn", norm(F.col("v")))
-    right = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = left.join(right, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot / (F.col("vn") * F.col("qn")), 6).alias("score"))
-    return top(pairs, k, "query_id", F.desc("score"), F.col("id"))
+    """(id, v) against the stated queries (query_id, q) by cosine; ties by id.
+
+    Every slice of the vectors meets every block of the queries in a task that gives out the ``k`` best of the slice, so
+    all pairs are scored and few rows move. A vector that is null, holds a null or has another length than the query has
+    no score and comes last; one without length or of infinite length has NaN and comes first.
+    """
+    left, right = vectors.select("id", "v").where("id is not null"), queries.select("query_id", "q").where("query_id is not null")
+    slices, blocks = -(-left.count() // SLICE), -(-right.count() // ASKED)
+    schema = T.StructType([right.schema["query_id"], left.schema["id"], T.StructField("score", T.DoubleType())])
+    if not slices or not blocks:
+        found = vectors.sparkSession.createDataFrame([], schema)
+        return top(found, k, "query_id", F.desc("score"), F.col("id"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("slice", part("id", slices)).withColumn("block", every(blocks))
+    right = right.withColumn("block", part("query_id", blocks)).withColumn("slice", every(slices))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "score"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([b.column("query_id").slice(0, 0), a.column("id").slice(0, 0), pa.array([], pa.float64())], names)
+        with np.errstate(all="ignore"):
+            i, j, score, none = (np.concatenate(x) for x in zip(*_nearest(a, b, k)))
+        return pa.table([b.column("query_id").take(pa.array(i)), a.column("id").take(pa.array(j)), pa.array(score, mask=none)], names)
+
+    cell = ("slice", "block")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, schema)
+    return top(found.withColumn("score", F.round("score", 6)), k, "query_id", F.desc("score"), F.col("id"))
 
 
 def fused(first: DataFrame, second: DataFrame, weights: tuple[float, float], k: int = 10, rrf_k: int = RRF_K) -> DataFrame:

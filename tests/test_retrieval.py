@@ -47,3 +47,38 @@ def test_rankings(spark, kind, matrix, monkeypatch):
 def test_no_rows(spark):
     docs, queries = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "query_id long, text string")
     assert R.bm25(R.postings(docs, queries)).count() == 0 and R.tfidf(R.postings(spark.createDataFrame([(1, "b")], docs.schema), queries)).count() == 0
+
+
+def cosine_brute(vectors, queries, k):
+    """By the sums that the rule states: NaN first, no score last, ties by id."""
+    out = []
+    for q, a in queries:
+        rows = []
+        for i, v in vectors:
+            if i != q:
+                score = None
+                if v is not None and a is not None and len(v) == len(a) and None not in v and None not in a:
+                    dot, norms = sum(x * y for x, y in zip(v, a)), math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(y * y for y in a))
+                    score = round(dot / norms, 6) if norms and not math.isinf(norms) and not math.isnan(norms) else math.nan
+                rows.append((2 if score is None else 0 if math.isnan(score) else 1, -score if score is not None and not math.isnan(score) else 0, i, score))
+        out += [(q, i, str(s), n + 1) for n, (_, _, i, s) in enumerate(sorted(rows, key=lambda x: x[:3])[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [(8192, 8192, 1 << 20), (16, 3, 40)])
+def test_dense_in_blocks(spark, sizes, monkeypatch):
+    """Copies, vectors of no length, of infinite length, with nulls, of another length: no pairs are made by Spark, all are scored."""
+    for name, n in zip(("SLICE", "ASKED", "PRODUCT"), sizes):
+        monkeypatch.setattr(R, name, n)
+    r = random.Random(6)
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(5)]) for i in range(90)] + [(i, [0.5, 0.25, 0.0, 0.0, 1.0]) for i in range(100, 130)]
+    odd = [(200, [0.0] * 5), (201, None), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [1.0, 2.0]), (204, [math.inf, 0.0, 0.0, 0.0, 0.0]), (205, [])]
+    kind = "array<double>"
+    for rows in (vectors, vectors[:4] + odd, vectors + odd):
+        asked = [x for x in rows if x[0] % 10 == 0 or x[0] > 200]
+        df, q = spark.createDataFrame(rows, f"id long, v {kind}"), spark.createDataFrame(asked, f"query_id long, q {kind}")
+        got = R.dense(df, q, 7)
+        assert sorted((x.query_id, x.id, str(x.score), x["rank"]) for x in got.collect()) == cosine_brute(rows, asked, 7)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "CoGroup" in plan
+    assert R.dense(df.where("id < 0"), q).count() == R.dense(df, q.where("query_id < 0")).count() == 0
