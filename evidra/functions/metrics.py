@@ -32,17 +32,38 @@ def ndcg(retrieved: Column, reference: Column, k: int = 10) -> Column:
     return F.when(F.size(want) > 0, total(gains) / total(most))
 
 
+def _first(hits: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` ids of each query, each once, ranked anew."""
+    return hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("rank") <= k)
+
+
+def _scored(relevant: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """From the relevant ones among the first (query_id, rank) and the sizes of the reference lists (query_id, size)."""
+    found = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
+    most = F.aggregate(F.transform(F.sequence(F.lit(1), F.least("size", F.lit(k)).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return size.join(found, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / most).alias("ndcg"))
+
+
 def retrieval_scores(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, recall, ndcg) from tables (query_id, id, rank) and (query_id, id), for reference lists of any length.
 
     The first ``k`` ranks count, and an id once. Queries without relevant ids have no row.
     """
     want = relevant.select("query_id", "id").distinct()
-    first = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id"))).where(F.col("rank") <= k)
-    found = first.join(want, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
-    size = want.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-    most = F.aggregate(F.transform(F.sequence(F.lit(1), F.least("size", F.lit(k)).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return size.join(found, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / most).alias("ndcg"))
+    return _scored(_first(hits, k).join(want, ["query_id", "id"]), want.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), k)
+
+
+def group_scores(hits: DataFrame, asked: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """``retrieval_scores`` where the ids of a query's groups are the relevant ones: asked (query_id, group), members (id, group).
+
+    The reference lists aren't made, as all queries of a group have the same: ids are counted by the groups they are in,
+    and only hits look for theirs.
+    """
+    asked, members = asked.select("query_id", "group").distinct(), members.select("id", "group").where("id is not null and group is not null").distinct()
+    alike = members.groupBy("id").agg(F.array_sort(F.collect_set("group")).alias("groups")).groupBy("groups").agg(F.count(F.lit(1)).alias("n"))
+    size = asked.join(alike.withColumn("group", F.explode("groups")), "group").select("query_id", "groups", "n").distinct().groupBy("query_id").agg(F.sum("n").alias("size"))
+    relevant = _first(hits, k).join(asked, "query_id").join(members, ["id", "group"], "left_semi").select("query_id", "id", "rank").distinct()
+    return _scored(relevant, size, k)
 
 
 @dataclass(frozen=True)
