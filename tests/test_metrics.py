@@ -66,7 +66,7 @@ def test_scores_by_group(spark):
         assert all(abs(got[q].recall - want[q].recall) < 1e-12 and abs(got[q].ndcg - want[q].ndcg) < 1e-12 for q in want)
 
 
-@pytest.mark.parametrize("name", ["ndcg_at_10"])
+@pytest.mark.parametrize("name", ["ndcg_at_10", "recall_at_k"])
 def test_lists_are_not_made(spark, tmp_path, name):
     """Embeddings are joined to the queries' labels as counts: no join of all vectors with all queries by label."""
     n = 3000
