@@ -29,8 +29,9 @@ def ticket_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     status = F.when(F.col("event_type") == "error", "Open").otherwise("Resolved")
     row = F.to_json(F.struct(F.concat(F.lit("EV-"), F.col("event_id")).alias("key"), stamp.alias("created"), status.alias("status"), F.concat("event_type", F.lit(" of user "), "user_id").alias("summary"), F.struct("value").alias("fields")))
-    days = e.select(row.alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    days.repartition("day").write.partitionBy("day").text(at)
+    # a day in eight files, so that days with many events are written by several tasks; JSON is made where it is written
+    dealt = e.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).repartition("day", F.pmod(F.xxhash64("event_id"), F.lit(8)))
+    dealt.select(row.alias("value"), "day").write.partitionBy("day").text(at)
     got = T.read(spark, T.Export(at), words=["purchase", "click"], start="2024-01-05", windowDays=3, pageSize=500)
     got = got.where((F.col("created") < "2024-01-20 12:00:00") & ~F.col("key").isin("EV-1000", "EV-2000"))
     return got.select("key", "status", "summary", F.get_json_object("fields", "$.value").cast("double").alias("value"))

@@ -260,8 +260,9 @@ def service_option(service: Service) -> str:
 class Export:
     """A service's export: a folder a day (``day=2024-02-29``) of files with a JSON ticket a line. Any file system that Arrow knows.
 
-    Days and lines are the newest first as they lie; a token is day, file and line. ``calls``, if given, is a folder
-    that gets an empty file for each page, to see what was asked for.
+    Days and lines are the newest first as they lie; a token is day, file and the byte at which the next ticket's line
+    begins, so a page costs what it reads and not what came before. ``calls``, if given, is a folder that gets an empty
+    file for each page, to see what was asked for.
     """
 
     root: str
@@ -280,27 +281,35 @@ class Export:
         names = [i.base_name for i in at.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("day=")]
         return sorted((date.fromisoformat(n[4:]) for n in names), reverse=True)
 
-    def _lines(self, day: date) -> Iterator[tuple[str, int, str]]:
+    def _lines(self, day: date, name: str, start: int) -> Iterator[tuple[str, int, bytes]]:
+        """(file, byte, line) of a day from this file and byte on."""
         from pyarrow import fs
 
         at, path = self._fs()
         for info in sorted(at.get_file_info(fs.FileSelector(f"{path}/day={day}")), key=lambda i: i.base_name):
-            if info.base_name[0] not in "._":
-                with at.open_input_stream(info.path) as raw:
-                    for i, line in enumerate(_split(raw)):
-                        yield info.base_name, i, line
+            if info.base_name[0] not in "._" and info.base_name >= name:
+                skip = start if info.base_name == name else 0
+                if info.base_name.rpartition(".")[2] in PACKED:  # no way to a byte but through those before
+                    with at.open_input_stream(info.path) as raw:
+                        left = skip
+                        while left and (block := raw.read(min(left, 1 << 20))):
+                            left -= len(block)
+                        yield from ((info.base_name, i, line) for i, line in _split(raw, skip))
+                else:
+                    with at.open_input_file(info.path) as raw:
+                        raw.seek(skip)
+                        yield from ((info.base_name, i, line) for i, line in _split(raw, skip))
 
     def days(self) -> tuple[date, date] | None:
         found = self._days()
         return (found[-1], found[0] + timedelta(days=1)) if found else None
 
-    def _found(self, query: Query, after: tuple[str, str, int] | None) -> Iterator[tuple[tuple[str, str, int], tuple]]:
+    def _found(self, query: Query, at: tuple[str, str, int] | None) -> Iterator[tuple[tuple[str, str, int], tuple]]:
+        """The tickets of a query with their places, from the place ``at`` on."""
         for day in self._days():
-            if (query.start and day < query.start) or (query.end and day >= query.end) or (after and str(day) > after[0]):
+            if (query.start and day < query.start) or (query.end and day >= query.end) or (at and str(day) > at[0]):
                 continue
-            for name, i, line in self._lines(day):
-                if after and str(day) == after[0] and (name, i) <= (after[1], after[2]):
-                    continue
+            for name, i, line in self._lines(day, *(at[1:] if at and str(day) == at[0] else ("", 0))):
                 if line.strip():
                     t = json.loads(line)
                     row = (t["key"], _utc(datetime.fromisoformat(t["created"].replace("Z", "+00:00"))), t["status"], t.get("summary"), json.dumps(t.get("fields") or {}, sort_keys=True))
@@ -317,22 +326,30 @@ class Export:
 
             open(os.path.join(self.calls, uuid.uuid4().hex), "w").close()
         rows: list[tuple] = []
-        place = None
         for at, row in self._found(query, tuple(json.loads(token)) if token else None):
             if len(rows) == size:
-                return Page(rows, json.dumps(place))
+                return Page(rows, json.dumps(at))
             rows.append(row)
-            place = at
         return Page(rows)
 
 
-def _split(raw) -> Iterator[str]:
-    rest = b""
-    while block := raw.read(1 << 20):
-        *lines, rest = (rest + block).split(b"\n")
-        yield from (x.decode() for x in lines)
-    if rest:
-        yield rest.decode()
+#: Names' ends of files that Arrow unpacks as it reads.
+PACKED = ("gz", "bz2", "lz4", "zst")
+
+
+def _split(raw, at: int) -> Iterator[tuple[int, bytes]]:
+    """Lines with the bytes at which they begin, the first at ``at``."""
+    rest: list[bytes] = []  # of a line that isn't over yet
+    while block := raw.read(1 << 18):
+        first, *lines = block.split(b"\n")
+        rest.append(first)
+        for x in lines:
+            whole = b"".join(rest)
+            yield at, whole
+            at += len(whole) + 1
+            rest = [x]
+    if any(rest):
+        yield at, b"".join(rest)
 
 
 def read(spark: SparkSession, service: Service, **options: object):

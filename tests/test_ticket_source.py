@@ -101,3 +101,41 @@ def test_stream_resumes(spark, export, tmp_path):
         with open(f"{export.root}/day={day}/part-0", "w") as f:
             f.write(json.dumps({"key": f"NEW-{day}", "created": f"{day}T10:00:00Z", "status": "Resolved"}))
     assert run() == sorted([*resolved(120), "NEW-2024-03-13"]) and 0 < calls(export) <= 4
+
+
+class Counting:
+    """An export whose bytes read are counted."""
+
+    def __init__(self, raw, seen):
+        self.raw, self.seen = raw, seen
+
+    def read(self, n):
+        block = self.raw.read(n)
+        self.seen.append(len(block))
+        return block
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pages_begin_where_the_last_one_ended(tmp_path, monkeypatch, packed):
+    """All tickets come once in order, from lines of any length; a page doesn't read again what came before it."""
+    import gzip
+
+    want = []
+    for d in (2, 1):
+        (tmp_path / f"day=2024-03-0{d}").mkdir()
+        for part in range(3):
+            rows = [{"key": f"K{d}-{part}-{i}", "created": f"2024-03-0{d}T10:00:00Z", "status": "Resolved" if i % 7 else "Open", "summary": "é" * (i % 50) + "x" * (600_000 if i == 30 else 0)} for i in range(0 if part == 1 else 3000)]
+            text = "\n\r\n".join(json.dumps(r, ensure_ascii=False) for r in rows) + "\n" * part
+            at = tmp_path / f"day=2024-03-0{d}" / f"part-{part}"
+            gzip.open(f"{at}.gz", "wt", encoding="utf-8").write(text) if packed else at.write_text(text, encoding="utf-8")
+            want += [r["key"] for r in rows if r["status"] == "Resolved"]
+    seen: list = []
+    split = T._split
+    monkeypatch.setattr(T, "_split", lambda raw, at: split(Counting(raw, seen), at))
+    export = T.Export(str(tmp_path))
+    assert [r[0] for r in T.walked(export, T.Query(), 100)] == want
+    if not packed:
+        size = sum(f.stat().st_size for f in tmp_path.glob("*/*"))
+        assert sum(seen) < size + len(want) / 100 * 300_000 + 2_000_000
+    assert [r[0] for r in T.walked(export, T.Query(), 7, 23)] == want[:23]
+    assert export.page(T.Query(), export.page(T.Query(), None, len(want) - 1).token, 5).tickets[0][0] == want[-1] and export.page(T.Query(), None, len(want)).token is None
