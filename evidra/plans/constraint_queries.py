@@ -44,7 +44,8 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", (F.col("o_orderkey") % 25).alias("n_nationkey"), (F.col("o_custkey") % 200).alias("p_partkey"))
-    o = o.join(_t(spark, sf_dir, "nation"), "n_nationkey").join(_t(spark, sf_dir, "part"), "p_partkey").join(_t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
+    parts = F.broadcast(_t(spark, sf_dir, "part").where("p_partkey between -199 and 199"))  # all that a remainder can name
+    o = o.join(_t(spark, sf_dir, "nation"), "n_nationkey").join(parts, "p_partkey").join(_t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
     kind = F.col("o_orderkey") % 8
     texts = [
         F.concat(F.lit("sbatch -p "), "n_name", F.lit(" job.sh")), F.concat(F.lit("How do I run "), "p_brand", F.lit(" "), "p_size", F.lit(".1 on "), "n_name", F.lit("?")),

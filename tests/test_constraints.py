@@ -60,3 +60,22 @@ def test_many_aliases(spark, many):
     e = spark.range(many).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.lit("software").alias("entity_type"), F.concat(F.lit("name"), "id").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("known_versions"))
     q = spark.createDataFrame([(1, "name17 and NAME2999, not name3000 or name1x")], "query_id int, text string")
     assert C.query_constraints(q, e).first().software_names == ["name17", "name2999"]
+
+
+def test_a_text_is_read_once(spark):
+    """Thousands of queries with three texts: tokens are made of three, and queries may share an id or have none."""
+    texts = ["How do I run GROMACS 2024.4 on cclake?", "sbatch -p cclake run_job.sh", "nothing here"]
+    q = spark.range(3000).select(F.when(F.col("id") > 5, F.col("id")).alias("query_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 3 + 1).cast("int")).alias("text"))
+    q = q.union(q.where("query_id = 7"))
+    df = C.query_constraints(q, spark.createDataFrame([GROMACS, *LAKE], SCHEMA))
+    got = df.groupBy("query_type", "software_names", "partition_names", "scope_family_names").count().collect()
+    assert {(r.query_type, *r.software_names, *r.partition_names, *r.scope_family_names): r["count"] for r in got} == {("software_version", "GROMACS", "cclake"): 1000, ("local_operational", "cclake", "cclake"): 1001, (None,): 1000}
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Generate":
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        p = p.plan() if "QueryStage" in p.nodeName() else p
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert 0 < most < 100
