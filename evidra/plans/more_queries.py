@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidra.functions import text as X
 from evidra.operators import aliases as A
 from evidra.operators import bootstrap as B
+from evidra.operators import matches as M
 from evidra.operators.turns import Budget, pack_turns
 from evidra.sources.shared import shared_folder
 from evidra.streaming import streams as S
@@ -37,6 +38,13 @@ def alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.alias_scan(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "nation").select(F.col("n_name").alias("alias")).unionByName(words))
 
 
+def module_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts beside the suppliers whose number names their brand."""
+    parts = _t(spark, sf_dir, "part").select(F.lower("p_brand").alias("key"), "p_partkey")
+    named = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("brand#"), (F.col("s_suppkey") % 55).cast("string")).alias("key"), "s_suppkey")
+    return M.pairs_by_key(parts, named)
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     return c.groupBy(F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").alias("item")).agg(F.avg("c_acctbal").alias("value"))
@@ -54,7 +62,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_updates(S.event_windows(S.events_stream(spark, sf_dir)), ["window_start", "event_type"], shared_folder(spark, "event-windows"))
 
 
-QUERIES = {f.__name__: f for f in (md_sections, chunk_windows, chunk_turns, alias_scan, bootstrap_means, bootstrap_differences, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (md_sections, chunk_windows, chunk_turns, alias_scan, module_match, bootstrap_means, bootstrap_differences, stream_event_windows)}
 _NAME = "printf('%s::chunk::%04d', doc_id::VARCHAR, {})"
 SQL = {
     "chunk_windows": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents), "

@@ -125,6 +125,7 @@ def version_match(d):
 
 @plan
 def module_match(d):
+    """The oracle only: the query is ``operators.matches.pairs_by_key``."""
     return "SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON lower(p.p_brand) = concat('brand#', cast(s.s_suppkey % 55 as varchar(9)))"
 
 
