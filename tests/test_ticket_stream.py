@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -66,3 +67,24 @@ def test_restart_gives_equal_rows(spark, tmp_path):
 
 def test_signature():
     assert T.signature({"a": 1, "b": [2]}) == T.signature({"b": [2], "a": 1}) != T.signature({"a": 1, "b": [3]})
+
+
+@pytest.mark.parametrize("buckets", [1, 1024])
+def test_buckets_and_batches(spark, tmp_path, monkeypatch, buckets):
+    """Many tickets of a bucket over many batches: some resolved, some silent at the very watermark, one without a name; held messages come out once."""
+    monkeypatch.setattr(T, "BUCKETS", buckets)
+    r = random.Random(5)
+    rows = [(None if i % 9 == 0 else f"T{r.randint(0, 30)}", HOUR * (i // 4) + 60_000 * (i % 4), f"m{i} é\"", r.random() < 0.15) for i in range(400)]
+    silence, base = 5 * HOUR, 1_700_000_000_000
+    rows.append(("edge", rows[-1][1] - silence, "a", False))
+    want = brute([(t or "", base + s, x, z) for t, s, x, z in rows], base + max(x[1] for x in rows), silence)
+    rows.sort(key=lambda x: x[1])
+    assert {w[4] for w in want} == {"resolved", "timed_out"} and len(want) < len(rows)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(7):
+        (folder / f"{i}.json").write_text("".join(json.dumps({"ticket": t, "ts": f"{1_700_000_000 + s // 1000}", "text": x, "resolves": z}) + "\n" for t, s, x, z in rows[i * 60 : i * 60 + 60]))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # the order in which they are read
+    T.run(stream(spark, folder), silence, f"{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(300)
+    got = sorted((x.ticket or "", *x[1:]) for x in spark.read.schema(T.CLOSED).parquet(f"{tmp_path}/out").collect())
+    assert [x for x in got if x[0] != "edge"] == [x for x in want if x[0] != "edge"]
