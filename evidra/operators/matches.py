@@ -32,5 +32,6 @@ def pairs_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes here become very many rows
     dealt = lambda df: df.repartition(n, "key", "share")
     both = dealt(mine.withColumn("share", share(F.col("bundle")))).join(dealt(other), ["key", "share"])
-    opened = both.select(f"{a}s", F.explode(f"{b}s").alias("y")).select("y", F.explode(f"{a}s").alias("x"))
-    return opened.select(F.col(f"x.{a}"), F.col(f"y.{b}"))
+    # as a lambda the first is opened row by row; else Spark holds all that a left bundle gives before it is written
+    opened = both.select(f"{a}s", F.explode(F.transform(f"{b}s", lambda v: v[b])).alias(b)).select(F.explode(f"{a}s").alias("x"), b)
+    return opened.select(F.col(f"x.{a}"), b)
